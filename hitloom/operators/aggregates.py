@@ -20,10 +20,8 @@ SERVER_ERROR_CODES = (500, 502, 503, 504)
 TOP_URLS_PER_BOT = 50
 TOP_VALUES_PER_CRAWLER = 5
 
-is_bot, is_resource, parameterized = F.col("is_bot"), F.col("is_resource"), F.col("is_parameterized")
-klass, status = F.col("status_class"), F.col("status")
-failed = klass.isin(4, 5)
-not_ok = klass.isin(3, 4, 5)
+FAILED = "status_class IN (4, 5)"
+NOT_OK = "status_class IN (3, 4, 5)"
 
 
 def facts(df: DataFrame) -> DataFrame:
@@ -31,9 +29,10 @@ def facts(df: DataFrame) -> DataFrame:
     return df if "hits" in df.columns else df.withColumn("hits", F.lit(1).cast("long"))
 
 
-def total(cond: Column | None = None, measure: str = "hits") -> Column:
+def total(cond: str | None = None, measure: str = "hits") -> Column:
+    """Sum of a measure over the rows that meet a condition."""
     value = F.col(measure)
-    return F.sum(value if cond is None else F.when(cond, value).otherwise(F.lit(0).cast("long")))
+    return F.sum(value if cond is None else F.when(F.expr(cond), value).otherwise(F.lit(0).cast("long")))
 
 
 def named(**metrics: Column) -> list[Column]:
@@ -41,15 +40,15 @@ def named(**metrics: Column) -> list[Column]:
 
 
 def traffic() -> list[Column]:
-    return named(hits=total(), hits_bot=total(is_bot), hits_human=total(~is_bot))
+    return named(hits=total(), hits_bot=total("is_bot"), hits_human=total("NOT is_bot"))
 
 
 def classes() -> list[Column]:
-    return [total(klass == c).alias(f"s{c}xx") for c in (2, 3, 4, 5)]
+    return [total(f"status_class = {c}").alias(f"s{c}xx") for c in (2, 3, 4, 5)]
 
 
 def codes(values) -> list[Column]:
-    return [total(status == c).alias(f"s{c}") for c in values]
+    return [total(f"status = {c}").alias(f"s{c}") for c in values]
 
 
 def size() -> list[Column]:
@@ -58,24 +57,24 @@ def size() -> list[Column]:
 
 def resources() -> list[Column]:
     return named(
-        resource_hits=total(is_resource),
-        resource_bytes_sent=total(is_resource, "bytes_sent"),
-        resource_4xx=total(is_resource & (klass == 4)),
-        resource_5xx=total(is_resource & (klass == 5)),
-        resource_hits_bot=total(is_resource & is_bot),
-        resource_4xx_bot=total(is_resource & is_bot & (klass == 4)),
-        resource_5xx_bot=total(is_resource & is_bot & (klass == 5)),
+        resource_hits=total("is_resource"),
+        resource_bytes_sent=total("is_resource", "bytes_sent"),
+        resource_4xx=total("is_resource AND status_class = 4"),
+        resource_5xx=total("is_resource AND status_class = 5"),
+        resource_hits_bot=total("is_resource AND is_bot"),
+        resource_4xx_bot=total("is_resource AND is_bot AND status_class = 4"),
+        resource_5xx_bot=total("is_resource AND is_bot AND status_class = 5"),
     )
 
 
 def resource_pair() -> list[Column]:
-    return named(resource_hits=total(is_resource), resource_hits_bot=total(is_resource & is_bot))
+    return named(resource_hits=total("is_resource"), resource_hits_bot=total("is_resource AND is_bot"))
 
 
 def waste() -> Column:
     """Crawl-waste score: parameterised, redirected and failed hits, the latter two again for assets."""
-    return (total(parameterized) + total(klass == 3) + total(failed)
-            + total(is_resource & parameterized) + total(is_resource & not_ok))
+    return (total("is_parameterized") + total("status_class = 3") + total(FAILED)
+            + total("is_resource AND is_parameterized") + total(f"is_resource AND {NOT_OK}"))
 
 
 def family() -> Column:
@@ -110,7 +109,7 @@ def bot_daily(df: DataFrame) -> DataFrame:
     return (
         facts(df).where("is_bot").groupBy("date", family(), category)
         .agg(total().alias("hits"), *classes(), *size(),
-             *named(resource_hits=total(is_resource), resource_errors=total(is_resource & not_ok)))
+             *named(resource_hits=total("is_resource"), resource_errors=total(f"is_resource AND {NOT_OK}")))
         .withColumn("resource_hits_pct",
                     F.try_divide(F.col("resource_hits").cast("double"), F.col("hits").cast("double")))
     )
@@ -130,50 +129,50 @@ def locale_group_daily(df: DataFrame) -> DataFrame:
 
 def top_urls_daily(df: DataFrame) -> DataFrame:
     return facts(df).groupBy("date", "path", "url_group").agg(
-        *named(hits_total=total(), hits_bot=total(is_bot), hits_human=total(~is_bot), s3xx=total(klass == 3)),
+        *named(hits_total=total(), hits_bot=total("is_bot"), hits_human=total("NOT is_bot"), s3xx=total("status_class = 3")),
         *codes(REDIRECT_CODES),
-        *named(s4xx=total(klass == 4), s5xx=total(klass == 5), parameterized_hits=total(parameterized)),
+        *named(s4xx=total("status_class = 4"), s5xx=total("status_class = 5"), parameterized_hits=total("is_parameterized")),
         *size(),
     )
 
 
 def top_4xx_daily(df: DataFrame) -> DataFrame:
-    return facts(df).where(klass == 4).groupBy("date", "path", "url_group").agg(
-        *named(hits_4xx=total(), hits_4xx_bot=total(is_bot), bytes_sent_4xx=total(measure="bytes_sent")),
+    return facts(df).where("status_class = 4").groupBy("date", "path", "url_group").agg(
+        *named(hits_4xx=total(), hits_4xx_bot=total("is_bot"), bytes_sent_4xx=total(measure="bytes_sent")),
         *codes(CLIENT_ERROR_CODES),
     )
 
 
 def top_5xx_daily(df: DataFrame) -> DataFrame:
-    return facts(df).where(klass == 5).groupBy("date", "path", "url_group").agg(
-        *named(hits_5xx=total(), hits_5xx_bot=total(is_bot)), *codes(SERVER_ERROR_CODES))
+    return facts(df).where("status_class = 5").groupBy("date", "path", "url_group").agg(
+        *named(hits_5xx=total(), hits_5xx_bot=total("is_bot")), *codes(SERVER_ERROR_CODES))
 
 
 def wasted_crawl_daily(df: DataFrame) -> DataFrame:
     return facts(df).where("is_bot").groupBy("date", "path", "url_group", family()).agg(*named(
         bot_hits=total(),
-        parameterized_bot_hits=total(parameterized),
-        redirect_bot_hits=total(klass == 3),
-        error_bot_hits=total(failed),
-        resource_bot_hits=total(is_resource),
-        resource_parameterized_bot_hits=total(is_resource & parameterized),
-        resource_error_bot_hits=total(is_resource & not_ok),
+        parameterized_bot_hits=total("is_parameterized"),
+        redirect_bot_hits=total("status_class = 3"),
+        error_bot_hits=total(FAILED),
+        resource_bot_hits=total("is_resource"),
+        resource_parameterized_bot_hits=total("is_resource AND is_parameterized"),
+        resource_error_bot_hits=total(f"is_resource AND {NOT_OK}"),
         waste_score=waste(),
-        waste_score_strict=waste() + total(is_resource),
+        waste_score_strict=waste() + total("is_resource"),
     ))
 
 
 def top_resource_waste_daily(df: DataFrame) -> DataFrame:
-    return facts(df).where(is_bot & is_resource).groupBy("date", "path").agg(*named(
+    return facts(df).where("is_bot AND is_resource").groupBy("date", "path").agg(*named(
         bot_hits=total(),
-        resource_error_bot_hits=total(not_ok),
-        status_404_bot_hits=total(status == 404),
-        waste_score_strict=total(not_ok) + total(),
+        resource_error_bot_hits=total(NOT_OK),
+        status_404_bot_hits=total("status = 404"),
+        waste_score_strict=total(NOT_OK) + total(),
     ))
 
 
 def human_urls_daily(df: DataFrame) -> DataFrame:
-    return facts(df).where(~is_bot).groupBy("date", "path", "url_group").agg(total().alias("hits"))
+    return facts(df).where("NOT is_bot").groupBy("date", "path", "url_group").agg(total().alias("hits"))
 
 
 def bot_urls_daily(df: DataFrame) -> DataFrame:
@@ -239,7 +238,7 @@ def crawler_pages(df: DataFrame) -> DataFrame:
     google = F.col("bot_family") == "Googlebot"
     ai = F.col("bot_category") == "AI Crawler"
     pages = (
-        facts(df).where(is_bot & (ai | google)).groupBy("date", "path", "bot_family", ai.alias("is_ai"))
+        facts(df).where(F.col("is_bot") & (ai | google)).groupBy("date", "path", "bot_family", ai.alias("is_ai"))
         .agg(total().alias("hits"), *size())
     )
     per_page = pages.groupBy("date", "path").agg(
@@ -250,7 +249,7 @@ def crawler_pages(df: DataFrame) -> DataFrame:
 
 
 def ai_crawler_daily(df: DataFrame) -> DataFrame:
-    crawls = facts(df).where(is_bot & (F.col("bot_category") == "AI Crawler"))
+    crawls = facts(df).where(F.col("is_bot") & (F.col("bot_category") == "AI Crawler"))
     base = crawler_pages(df).groupBy("date", "bot_family").agg(
         F.sum("hits").alias("total_hits"),
         F.count("*").alias("unique_urls"),

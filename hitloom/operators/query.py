@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hitloom.functions import lines, urls
 from hitloom.operators import filters, tables
-from hitloom.operators.aggregates import klass, status, waste
+from hitloom.operators.aggregates import waste
 from hitloom.operators.filters import FilterSpec
 
 GROUP_COLUMNS = (
@@ -109,9 +109,9 @@ def dimension(name: str, columns) -> Column:
     if name == "is_bot":
         return F.when(F.col("is_bot"), F.lit("Bot")).otherwise(F.lit("Human"))
     if name == "status_class":
-        return F.coalesce(klass.cast("string"), F.lit(""))
+        return F.coalesce(F.col("status_class").cast("string"), F.lit(""))
     if name == "status":
-        return status.cast("string")
+        return F.col("status").cast("string")
     segs = urls.request_segments(F.col("path"))
     if name == "path_segment_1":
         return F.coalesce(F.get(segs, F.lit(0)), F.lit("(root)"))
@@ -144,8 +144,8 @@ def group(parsed: DataFrame, spec: QuerySpec) -> DataFrame:
         F.count_if(~F.col("is_bot")).alias("hits_human"),
         F.sum("bytes_sent").alias("bytes_total"),
         F.count_distinct("edge_ip").alias("unique_ips"),
-        F.count_if(klass == 4).alias("s4xx"),
-        F.count_if(klass == 5).alias("s5xx"),
+        F.count_if(F.col("status_class") == 4).alias("s4xx"),
+        F.count_if(F.col("status_class") == 5).alias("s5xx"),
     ]
     out = df.select("*", *[dimension(k, df.columns).alias(f"_k{i}") for i, k in enumerate(keys)])
     if by_waste:
@@ -167,7 +167,7 @@ def time_bucket(spec: QuerySpec) -> Column:
 
 
 def status_counts() -> list[Column]:
-    return [F.count_if(status.between(c * 100, c * 100 + 99)).alias(f"s{c}xx") for c in (2, 3, 4, 5)]
+    return [F.count_if(F.col("status").between(c * 100, c * 100 + 99)).alias(f"s{c}xx") for c in (2, 3, 4, 5)]
 
 
 def timeseries(parsed: DataFrame, spec: QuerySpec) -> DataFrame:
@@ -218,7 +218,7 @@ HISTOGRAM_METRICS = {
     "bytes": lambda: [F.sum(F.coalesce("bytes_sent", F.lit(0))).alias("v")],
     "status": status_counts,
     "bots": lambda: [F.count_if("is_bot").alias("v_bot"), F.count_if(~F.col("is_bot")).alias("v_human")],
-    "errors": lambda: [F.count_if(status.between(400, 599)).alias("err"), F.count("*").alias("tot")],
+    "errors": lambda: [F.count_if(F.col("status").between(400, 599)).alias("err"), F.count("*").alias("tot")],
 }
 
 

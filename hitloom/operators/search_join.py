@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from hitloom.defaults import UNKNOWN_BOT
 from hitloom.functions import urls
-from hitloom.operators.aggregates import facts, failed, klass, named, parameterized, is_bot, is_resource, total
+from hitloom.operators.aggregates import FAILED, facts, named, total
 
 # Fixed values, best first.
 STRATEGIC_CLASSES = ("strategic_top10", "strategic_indexed", "strategic_ranked_low", "non_strategic_unindexed")
@@ -36,7 +36,7 @@ def search_dates(perf: DataFrame) -> DataFrame:
 
 def crawl_counts(parsed: DataFrame) -> DataFrame:
     return facts(parsed).groupBy("date", urls.join_key(F.col("path")).alias("norm_path")).agg(*named(
-        crawl_hits=total(), bot_hits=total(is_bot), human_hits=total(~is_bot)))
+        crawl_hits=total(), bot_hits=total("is_bot"), human_hits=total("NOT is_bot")))
 
 
 def _flag(cond: Column) -> Column:
@@ -80,8 +80,8 @@ def gsc_bot_daily(parsed: DataFrame, perf: DataFrame, dedupe_pages: bool = False
         facts(parsed).where("is_bot")
         .groupBy("date", urls.join_key(F.col("path")).alias("norm_path"),
                  F.coalesce("bot_family", F.lit(UNKNOWN_BOT)).alias("bot_family"))
-        .agg(*named(crawl_hits=total(), ok_hits=total(klass == 2), redirect_hits=total(klass == 3),
-                    err_hits=total(failed), param_hits=total(parameterized), resource_hits=total(is_resource)))
+        .agg(*named(crawl_hits=total(), ok_hits=total("status_class = 2"), redirect_hits=total("status_class = 3"),
+                    err_hits=total(FAILED), param_hits=total("is_parameterized"), resource_hits=total("is_resource")))
         .join(search_dates(perf), "date", "left_semi")
     )
     zero = F.lit(0).cast("long")
