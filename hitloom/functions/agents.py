@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hitloom.config import BotRule, SiteRules
 from hitloom.defaults import HUMAN_FAMILY
-from hitloom.functions.urls import case_insensitive
+from hitloom.functions.text import case_insensitive, once, quote, quoted
 
 _PLAIN = re.compile(r"(?:[a-z0-9 _/-]|\\\.)+", re.IGNORECASE)
 _WHOLE = re.compile(r"\^([a-z0-9 _/-]+)\$", re.IGNORECASE)
@@ -48,8 +48,8 @@ def alternatives(pattern: str) -> list[tuple[str, str]]:
     return out
 
 
-def matches(lowered: Column, pattern: str) -> Column:
-    """Whether a lower-case text contains a match of a case-insensitive pattern.
+def matches(lowered: str, pattern: str) -> str:
+    """SQL test whether a lower-case text contains a match of a case-insensitive pattern.
 
     Alternatives that are plain text become substring tests; a real expression runs only on texts that
     contain the fixed part of it. Both are far cheaper per row than running every expression.
@@ -57,25 +57,21 @@ def matches(lowered: Column, pattern: str) -> Column:
     tests = []
     for alt, fixed in alternatives(pattern):
         if _PLAIN.fullmatch(alt):
-            tests.append(F.contains(lowered, F.lit(alt.replace("\\.", ".").lower())))
+            tests.append(f"contains({lowered}, {quote(alt.replace(chr(92) + '.', '.').lower())})")
         elif _WHOLE.fullmatch(alt):
-            tests.append(lowered == _WHOLE.fullmatch(alt).group(1).lower())
+            tests.append(f"{lowered} = {quote(_WHOLE.fullmatch(alt).group(1).lower())}")
         else:
-            test = F.rlike(lowered, F.lit(case_insensitive(alt)))
-            tests.append(F.contains(lowered, F.lit(fixed.lower())) & test if len(fixed) > 1 else test)
-    hit = tests[0]
-    for t in tests[1:]:
-        hit = hit | t
-    return hit
+            test = f"rlike({lowered}, {quote(case_insensitive(alt))})"
+            tests.append(f"(contains({lowered}, {quote(fixed.lower())}) AND {test})" if len(fixed) > 1 else test)
+    return " OR ".join(tests)
 
 
-def first_rule(lowered: Column, rules: tuple[BotRule, ...]) -> Column:
-    """Position of the first matching rule; NULL when none matches."""
-    chain = None
-    for i, rule in enumerate(rules):
-        hit = matches(lowered, rule.pattern)
-        chain = F.when(hit, F.lit(i)) if chain is None else chain.when(hit, F.lit(i))
-    return F.lit(None).cast("int") if chain is None else chain
+def first_rule(lowered: str, rules: tuple[BotRule, ...]) -> Column:
+    """Position of the first rule that matches a lower-case column; NULL when none matches."""
+    if not rules:
+        return F.lit(None).cast("int")
+    branches = " ".join(f"WHEN {matches(lowered, r.pattern)} THEN {i}" for i, r in enumerate(rules))
+    return F.expr(f"CASE {branches} END")
 
 
 def frequent_agents(requests: DataFrame, rules: SiteRules, n: int = MAX_CACHED_AGENTS) -> DataFrame:
@@ -85,8 +81,9 @@ def frequent_agents(requests: DataFrame, rules: SiteRules, n: int = MAX_CACHED_A
     come from an older date or a sample without changing any result. ``n`` bounds what is broadcast.
     """
     top = requests.groupBy("user_agent").count().orderBy(F.desc("count"), "user_agent").limit(n)
-    rule = F.coalesce(first_rule(F.lower("user_agent"), rules.bots), F.lit(-1))
-    return top.select("user_agent", rule.alias("_cached_rule"))
+    rule = F.coalesce(first_rule("_agent", rules.bots), F.lit(-1))
+    return top.select("user_agent", F.lower("user_agent").alias("_agent")).select(
+        "user_agent", rule.alias("_cached_rule"))
 
 
 def classify_bot(df: DataFrame, rules: SiteRules, cache: DataFrame | None = None) -> DataFrame:
@@ -94,32 +91,27 @@ def classify_bot(df: DataFrame, rules: SiteRules, cache: DataFrame | None = None
 
     The referer rules are tried only for requests that look human and have a referer.
     """
-    rule, by_referer = F.col("_rule"), F.col("_referer_rule")
-    by_agent = first_rule(F.lower("user_agent"), rules.bots)
-    if cache is None:
-        df = df.withColumn("_rule", by_agent)
-    else:
-        df = (
-            df.join(F.broadcast(cache.limit(MAX_CACHED_AGENTS)), "user_agent", "left")
-            .withColumn("_rule", F.when(F.col("_cached_rule").isNull(), by_agent)
-                        .otherwise(F.nullif(F.col("_cached_rule"), F.lit(-1))))
-            .drop("_cached_rule")
-        )
-    human = [i for i, r in enumerate(rules.bots) if r.family == HUMAN_FAMILY]
-    bot_by_agent = rule.isNotNull() & ~rule.isin(human) if human else rule.isNotNull()
-
-    def label(field: str) -> Column:
-        agent = F.get(F.array(*[F.lit(getattr(r, field)) for r in rules.bots]), rule)
-        referer = F.get(F.array(*[F.lit(getattr(r, field)) for r in rules.referer_bots]), by_referer)
-        return F.when(bot_by_agent, agent).otherwise(referer)
+    by_agent = first_rule("_agent", rules.bots)
+    if cache is not None:
+        df = df.join(F.broadcast(cache.limit(MAX_CACHED_AGENTS)), "user_agent", "left")
+        cached = F.col("_cached_rule")
+        by_agent = F.when(cached.isNull(), by_agent).otherwise(F.nullif(cached, F.lit(-1)))
+    df = once(df.withColumns({"_agent": F.lower("user_agent"), "_referer": F.lower("referer")}), _rule=by_agent)
+    human = ", ".join(str(i) for i, r in enumerate(rules.bots) if r.family == HUMAN_FAMILY)
+    bot_by_agent = f"(_rule IS NOT NULL{f' AND _rule NOT IN ({human})' if human else ''})"
+
+    def label(field: str) -> str:
+        agent = quoted(getattr(r, field) for r in rules.bots)
+        referer = quoted(getattr(r, field) for r in rules.referer_bots)
+        return (f"CASE WHEN {bot_by_agent} THEN get(array({agent}), _rule)"
+                f" ELSE {f'get(array({referer}), _by_referer)' if referer else 'CAST(NULL AS STRING)'} END")
 
     return (
-        df.withColumn("_referer_rule", F.when(~bot_by_agent & F.col("referer").isNotNull(),
-                                              first_rule(F.lower("referer"), rules.referer_bots)))
+        df.withColumn("_by_referer", F.when(F.expr(f"NOT {bot_by_agent}"), first_rule("_referer", rules.referer_bots)))
         .withColumns({
-            "is_bot": bot_by_agent | by_referer.isNotNull(),
-            "bot_family": label("family"),
-            "bot_category": label("category"),
+            "is_bot": F.expr(f"{bot_by_agent} OR _by_referer IS NOT NULL"),
+            "bot_family": F.expr(label("family")),
+            "bot_category": F.expr(label("category")),
         })
-        .drop("_rule", "_referer_rule")
+        .drop("_rule", "_by_referer", "_agent", "_referer", "_cached_rule")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hitloom import defaults
+from hitloom.functions.text import quote, quoted
 
 KNOWN_DOMAINS = (
     ("Search Engine", defaults.SEARCH_ENGINE_DOMAINS),
@@ -36,24 +37,21 @@ def known_domain(host: Column) -> Column:
     return F.regexp_extract(host, rf"(?:^|\.)({names})$", 1)
 
 
-def is_internal(host: Column, site_domain: str) -> Column:
+def is_internal(host: str, site_domain: str) -> str:
+    """SQL test whether a host is the site's domain or lies under it."""
     site = site_domain.strip().lower()
-    if not site:
-        return F.lit(False)
-    return (host == site) | F.endswith(host, F.lit("." + site))
+    return f"({host} = {quote(site)} OR endswith({host}, {quote('.' + site)}))" if site else "FALSE"
 
 
 def classify_referer(df, site_domain: str, referer: str = "referer"):
     """Add ``referer_type`` and ``referer_path`` (the latter for internal referers only)."""
-    raw, host, domain = F.col(referer), F.col("_host"), F.col("_domain")
-    kind = F.when(raw.isNull() | raw.isin("", "-"), F.lit("Direct"))
-    kind = kind.when(host == "", F.lit("Other")).when(is_internal(host, site_domain), F.lit("Internal"))
-    for name, domains in KNOWN_DOMAINS:
-        kind = kind.when(domain.isin(list(domains)), F.lit(name))
+    known = " ".join(f"WHEN _domain IN ({quoted(domains)}) THEN {quote(name)}" for name, domains in KNOWN_DOMAINS)
+    kind = f"""CASE WHEN {referer} IS NULL OR {referer} IN ('', '-') THEN 'Direct' WHEN _host = '' THEN 'Other'
+        WHEN {is_internal('_host', site_domain)} THEN 'Internal' {known} ELSE 'Other' END"""
     return (
-        df.withColumn("_host", referer_host(raw))
-        .withColumn("_domain", known_domain(host))
-        .withColumn("referer_type", kind.otherwise(F.lit("Other")))
-        .withColumn("referer_path", F.when(F.col("referer_type") == "Internal", referer_path(raw)))
+        df.withColumn("_host", referer_host(F.col(referer)))
+        .withColumn("_domain", known_domain(F.col("_host")))
+        .withColumn("referer_type", F.expr(kind))
+        .withColumn("referer_path", F.when(F.col("referer_type") == "Internal", referer_path(F.col(referer))))
         .drop("_host", "_domain")
     )

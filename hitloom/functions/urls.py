@@ -5,11 +5,7 @@ from pyspark.sql import functions as F
 
 from hitloom.config import SiteRules
 from hitloom.defaults import NO_LOCALE
-
-
-def case_insensitive(pattern: str) -> str:
-    """Pattern to use on lower-case text; the slower flag is needed only when it has capitals."""
-    return "(?i)" + pattern if any(c.isupper() for c in pattern) else pattern
+from hitloom.functions.text import case_insensitive, quote, quoted
 
 
 def normalise_path(path: Column) -> Column:
@@ -46,64 +42,59 @@ def page_join_key(page: Column) -> Column:
     return join_key(F.regexp_replace(page, r"\?.*$", ""))
 
 
-def rule_group(p: Column, ext: Column, rules: SiteRules) -> Column:
-    """Group of the first matching rule for a normalised path; NULL when no rule matches."""
-    chain = None
+def rule_group(p: str, ext: str, rules: SiteRules) -> str:
+    """SQL for the group of the first matching rule of a normalised path; NULL when no rule matches."""
+    branches = []
     for rule in rules.url_rules:
         if rule.match == "exact":
-            hit = p == rule.value.lower()
+            hit = f"{p} = {quote(rule.value.lower())}"
         elif rule.match == "prefix":
-            hit = F.startswith(p, F.lit(rule.value.lower()))
+            hit = f"startswith({p}, {quote(rule.value.lower())})"
         elif rule.match == "regex":
-            hit = F.rlike(p, F.lit(case_insensitive(rule.value)))
+            hit = f"rlike({p}, {quote(case_insensitive(rule.value))})"
         elif rule.match == "ext":
-            hit = F.coalesce(ext.isin([e.lower() for e in rule.value]), F.lit(False))
+            hit = f"{ext} IN ({quoted(e.lower() for e in rule.value)})"
         else:
             continue
-        chain = F.when(hit, F.lit(rule.group)) if chain is None else chain.when(hit, F.lit(rule.group))
-    return F.lit(None).cast("string") if chain is None else chain
+        branches.append(f"WHEN {hit} THEN {quote(rule.group)}")
+    return f"CASE {' '.join(branches)} END" if branches else "CAST(NULL AS STRING)"
 
 
-def segment_is_locale(segment: Column, rules: SiteRules) -> Column:
-    known = segment.isin(list(rules.locales)) if rules.locales else F.lit(False)
+def is_locale(segment: str, rules: SiteRules) -> str:
+    """SQL test whether a segment is a known locale or looks like one."""
+    tests = [f"{segment} IN ({quoted(rules.locales)})"] if rules.locales else []
     if rules.locale_pattern:
-        known = known | F.rlike(segment, F.lit(case_insensitive(f"^(?:{rules.locale_pattern})$")))
-    return F.coalesce(known, F.lit(False))
+        tests.append(f"rlike({segment}, {quote(case_insensitive(f'^(?:{rules.locale_pattern})$'))})")
+    return f"COALESCE({' OR '.join(tests)}, FALSE)" if tests else "FALSE"
 
 
-def section_group(section: Column, subsection: Column, rules: SiteRules) -> Column:
-    """Mapped group of ``section/subsection``, else of ``section``, else the fallback."""
+def section_group(section: str, subsection: str, rules: SiteRules) -> str:
+    """SQL for the mapped group of ``section/subsection``, else of ``section``, else the fallback."""
+    fallback = quote(rules.fallback_group)
     if not rules.section_map:
-        return F.lit(rules.fallback_group)
-    mapping = F.create_map(*[F.lit(x) for kv in rules.section_map.items() for x in kv])
-    pair = F.concat_ws("/", section, subsection)
-    return F.coalesce(
-        F.when(subsection.isNotNull(), mapping[pair]), mapping[section], F.lit(rules.fallback_group)
-    )
+        return fallback
+    mapping = f"map({quoted(x for kv in rules.section_map.items() for x in kv)})"
+    return f"COALESCE({mapping}[concat({section}, '/', {subsection})], {mapping}[{section}], {fallback})"
 
 
 def classify_path(df, rules: SiteRules, path: str = "path"):
     """Add ``url_group``, ``locale`` and ``section``."""
-    p = F.col("_p")
-    segs = F.col("_segs")
-    is_locale = F.col("_is_locale")
-    ruled = F.col("_ruled")
-    offset = F.when(is_locale, F.lit(1)).otherwise(F.lit(0))
-    homepage = is_locale & (F.size(segs) == 1)
-    section = F.get(segs, offset)
-    subsection = F.get(segs, offset + 1)
+    home = quote(rules.locale_homepage_group)
     return (
         df.withColumn("_p", normalise_path(F.col(path)))
-        .withColumn("_segs", segments(p))
-        .withColumn("_ruled", rule_group(p, path_extension(p), rules))
-        .withColumn("_is_locale", ruled.isNull() & segment_is_locale(F.get(segs, F.lit(0)), rules))
+        .withColumns({"_segs": segments(F.col("_p")), "_ext": path_extension(F.col("_p"))})
+        .withColumn("_ruled", F.expr(rule_group("_p", "_ext", rules)))
+        .withColumn("_local", F.expr(f"_ruled IS NULL AND {is_locale('get(_segs, 0)', rules)}"))
+        .withColumns({
+            "_section": F.expr("get(_segs, IF(_local, 1, 0))"),
+            "_subsection": F.expr("get(_segs, IF(_local, 2, 1))"),
+            "locale": F.expr(f"IF(_local, get(_segs, 0), {quote(NO_LOCALE)})"),
+        })
         .withColumns({
-            "url_group": F.when(ruled.isNotNull(), ruled)
-            .when(F.size(segs) == 0, F.lit("Home"))
-            .when(homepage, F.lit(rules.locale_homepage_group))
-            .otherwise(section_group(section, subsection, rules)),
-            "locale": F.when(is_locale, F.get(segs, F.lit(0))).otherwise(F.lit(NO_LOCALE)),
-            "section": F.when(ruled.isNull() & ~homepage, section),
+            "url_group": F.expr(f"""CASE WHEN _ruled IS NOT NULL THEN _ruled WHEN size(_segs) = 0 THEN 'Home'
+                WHEN _local AND size(_segs) = 1 THEN {home}
+                ELSE {section_group('_section', '_subsection', rules)} END"""),
+            "section": F.expr("IF(_ruled IS NULL, _section, NULL)"),
         })
-        .drop("_p", "_segs", "_ruled", "_is_locale")
+        .drop("_p", "_segs", "_ext", "_ruled", "_local", "_section", "_subsection")
     )

@@ -12,6 +12,9 @@ from hitloom.operators import aggregates, enrich, search_join
 from hitloom.sources import storage
 
 
+SEARCH_TABLES = {"gsc_daily": search_join.gsc_daily, "gsc_bot_daily": search_join.gsc_bot_daily}
+
+
 class Warehouse:
     """Folders of one site under a shared root."""
 
@@ -31,7 +34,14 @@ class Warehouse:
         return storage.read_table(self.spark, self.path("manifest"), schema.MANIFEST)
 
     def table(self, name: str) -> DataFrame:
-        return storage.read_table(self.spark, self.path(f"aggregates/{name}"))
+        return storage.read_table(self.spark, self.path(f"aggregates/{name}"), self.schema_of(name))
+
+    def schema_of(self, name: str):
+        """Schema of an aggregate table: that of its query over no rows."""
+        none = self.spark.createDataFrame([], schema.PARSED)
+        if name in SEARCH_TABLES:
+            return SEARCH_TABLES[name](none, self.spark.createDataFrame([], schema.SEARCH_PERF)).schema
+        return aggregates.TABLES[name](none).schema
 
     # Ingest -------------------------------------------------------------------------------------------
 
@@ -46,13 +56,13 @@ class Warehouse:
         if not dates:
             return []
         files = storage.list_raw(self.spark, raw).where(F.col("log_date").isin(dates))
-        self.load_parsed(storage.read_raw(self.spark, raw).where(F.col("date").isin(dates)))
+        self.load_parsed(storage.read_raw(self.spark, raw).where(F.col("date").isin(dates)), dates)
         self.refresh(dates)
         self._record(files)
         return dates
 
-    def load_parsed(self, raw_lines: DataFrame) -> None:
-        """Parse and write lines, replacing their dates: one narrow stage, no shuffle.
+    def load_parsed(self, raw_lines: DataFrame, dates=()) -> None:
+        """Parse and write lines, replacing their dates and the listed ones: one narrow stage, no shuffle.
 
         User agents that were frequent on the latest date already loaded are looked up instead of matched.
         """
@@ -66,7 +76,7 @@ class Warehouse:
             frequent.write.mode("overwrite").parquet(cache_path)
             cache = self.spark.read.parquet(cache_path)
         parsed = enrich.parse_log(raw_lines.select("date", "value"), self.rules, cache)
-        storage.replace_partitions(parsed, self.path("parsed"))
+        storage.replace_partitions(parsed, self.path("parsed"), dates)
 
     def _record(self, files: DataFrame) -> None:
         # The new manifest is written beside the old one first: Spark cannot overwrite what it reads.
@@ -83,30 +93,31 @@ class Warehouse:
         are written tables, so the aggregates read far fewer rows and a lost executor costs little.
         """
         parsed = self.parsed().where(F.col("date").isin(dates))
+        rollups = {}
         for name, build in (("traffic", aggregates.traffic_rollup), ("pages", aggregates.page_rollup),
                             ("utm", aggregates.utm_rollup)):
-            storage.replace_partitions(storage.by_date(build(parsed)), self.path(f"_work/{name}"))
-        rollups = {name: self.spark.read.parquet(self.path(f"_work/{name}")).where(F.col("date").isin(dates))
-                   for name in ("traffic", "pages", "utm")}
+            rows, path = build(parsed), self.path(f"_work/{name}")
+            storage.replace_partitions(storage.by_date(rows), path, dates)
+            rollups[name] = storage.read_table(self.spark, path, rows.schema).where(F.col("date").isin(dates))
         source = {**dict.fromkeys(aggregates.FROM_TRAFFIC, "traffic"), **dict.fromkeys(aggregates.FROM_PAGES, "pages"),
                   **dict.fromkeys(aggregates.FROM_UTM, "utm")}
         for name, build in aggregates.TABLES.items():
             rows = build(rollups[source[name]] if name in source else parsed)
-            storage.replace_partitions(storage.by_date(rows), self.path(f"aggregates/{name}"))
+            storage.replace_partitions(storage.by_date(rows), self.path(f"aggregates/{name}"), dates)
         self.refresh_search(dates, rollups["pages"])
 
     def refresh_search(self, dates: list[str], pages: DataFrame | None = None) -> None:
         """Rebuild the two search tables of some dates; dates without search data are skipped."""
         perf = self.search_perf().where(F.col("date").isin(dates))
         crawls = pages if pages is not None else self.parsed().where(F.col("date").isin(dates))
-        for name, build in (("gsc_daily", search_join.gsc_daily), ("gsc_bot_daily", search_join.gsc_bot_daily)):
-            storage.replace_partitions(storage.by_date(build(crawls, perf)), self.path(f"aggregates/{name}"))
+        for name, build in SEARCH_TABLES.items():
+            storage.replace_partitions(storage.by_date(build(crawls, perf)), self.path(f"aggregates/{name}"), dates)
 
     def backfill_search(self) -> list[str]:
         """Build the search tables of dates that have requests and search data but lack either table."""
         from hitloom.operators.tables import missing_dates
 
-        outputs = [storage.read_table(self.spark, self.path(f"aggregates/{n}"), _DATE) for n in ("gsc_daily", "gsc_bot_daily")]
+        outputs = [self.table(n) for n in SEARCH_TABLES]
         dates = [r.date for r in missing_dates([self.parsed(), self.search_perf()], outputs).collect()]
         if dates:
             self.refresh_search(dates)
@@ -118,6 +129,3 @@ class Warehouse:
         storage.replace_partitions(storage.fix_column_type(raw), self.path("_work/parsed_fixed"))
         fixed = storage.read_table(self.spark, self.path("_work/parsed_fixed"), schema.PARSED)
         storage.replace_partitions(fixed, self.path("parsed"))
-
-
-_DATE = schema.T.StructType([schema.T.StructField("date", schema.T.StringType())])

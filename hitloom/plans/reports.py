@@ -392,10 +392,13 @@ def insight(name: str, tables, date_from: str | None = None, date_to: str | None
 
 def csv_columns(df: DataFrame) -> DataFrame:
     """Text forms of the CSV files: click rate as a percentage, position with one decimal."""
-    forms = {"avg_ctr": lambda c: F.format_string("%.2f%%", c * 100.0), "avg_position": lambda c: F.format_string("%.1f", c)}
-    return df.select(*[
-        F.when(F.col(c).isNotNull(), forms[c](F.col(c))).alias(c) if c in forms else F.col(c) for c in df.columns
-    ])
+
+    def decimals(c: Column, form: str) -> Column:
+        return F.call_function("format_number", c, F.lit(form))  # rounds the exact value, unlike format_string
+
+    forms = {"avg_ctr": lambda c: F.concat(decimals(c * 100.0, "0.00"), F.lit("%")),
+             "avg_position": lambda c: decimals(c, "0.0")}
+    return df.select(*[forms[c](F.col(c)).alias(c) if c in forms else F.col(c) for c in df.columns])
 
 
 CSV_REPORTS = {

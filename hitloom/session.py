@@ -25,10 +25,11 @@ def work_dir(spark: SparkSession) -> str:
 
     Only a local session may go without the setting; it gets a temporary folder of this machine.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not shared:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        shared = tempfile.mkdtemp(prefix="hitloom-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="hitloom-"))
+        shared = sc.getCheckpointDir()
     return shared.rstrip("/")

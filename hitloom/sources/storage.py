@@ -83,22 +83,32 @@ def read_table(spark: SparkSession, path: str, table_schema: T.StructType | None
     try:
         return reader.parquet(path)
     except AnalysisException as e:
-        if table_schema is None or e.getCondition() != "PATH_NOT_FOUND":
+        if table_schema is None or e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return spark.createDataFrame([], table_schema)
 
 
-def replace_partitions(df: DataFrame, path: str, columns=("date",), rows_per_file: int | None = None) -> None:
-    """Write a table, replacing exactly the partitions that occur in ``df``.
+def replace_partitions(df: DataFrame, path: str, dates=(), rows_per_file: int | None = None) -> None:
+    """Write a table, replacing exactly the dates that occur in ``df`` and those listed in ``dates``.
 
-    Rows are not shuffled before the write; ``rows_per_file`` bounds the size of a file.
+    A listed date without rows ends up empty. Rows are not shuffled before the write; ``rows_per_file``
+    bounds the size of a file.
     """
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns)
+    drop_dates(df.sparkSession, path, dates)
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.parquet(path)
 
 
+def drop_dates(spark: SparkSession, path: str, dates) -> None:
+    """Remove date partitions: a dynamic overwrite alone would keep a date that has no rows any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for date in dates:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/date={date}")
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def by_date(df: DataFrame) -> DataFrame:
     """Rows gathered by date for the write; Spark splits a date that is too large for one task."""
     return df.hint("rebalance", "date")
