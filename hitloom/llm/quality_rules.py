@@ -14,6 +14,8 @@ from hitloom.llm.common import SPACES, fresh, let
 MIN_KEPT = 0.5
 #: A line of fewer words needs a sign that ends a sentence.
 MIN_WORDS_UNPUNCTUATED = 5
+#: A longer line is prose, even if it mentions what a notice says.
+NOTICE_BYTES = 300
 WINDOW = 8
 
 # What a boilerplate line says.
@@ -30,9 +32,11 @@ LINE_RULES = {
     "navigation": r"(?:\s[|»›•·>]\s[^|»›•·>]*){3}",
     "symbols": r"(?:[#*$%&<>~^_=+\\{}]{2,}[^#*$%&<>~^_=+\\{}]{0,12}){4}",
     "shouting": r"(?:[!?]{2,}[^!?]{0,40}){4}",
-    "repeated_word": r"(?:^|\s)(\S+)(?:\s+\1){5}(?:\s|$)",
-    "boilerplate": BOILERPLATE,
+    "repeated_word": r"(?<!\S)(\S++)(?:\s++\1(?!\S)){5}",
 }
+#: A text without any of these meets none of the first three rules.
+MARKED = r"[|»›•·>#*$%&<~^_=+\\{}]|[!?]{2}"
+MARKED_RULES = ("navigation", "symbols", "shouting")
 ENDED = r"[.!?:;…。！？][\"'”’»)\]]*[\x20\x09-\x0D]*$"
 LONG_ENOUGH = r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}[^\x20\x09-\x0D]" % (MIN_WORDS_UNPUNCTUATED - 1)
 
@@ -41,12 +45,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES), "")
 
 
-def line_passes(line: Column) -> Column:
-    """Whether a line that holds a word stays: it meets no rule, and it is long or ends like a sentence."""
-    ok = line.rlike(ENDED) | line.rlike(LONG_ENOUGH)
-    for rule in LINE_RULES.values():
-        ok = ok & ~line.rlike(rule)
-    return ok
+def line_passes(line: Column, marked: Column) -> Column:
+    """Whether a line that holds a word stays: it meets no rule, and it is long or ends like a sentence.
+
+    ``marked`` says whether the line's text holds what MARKED asks for.
+    """
+    ok = line.rlike(LONG_ENOUGH) | line.rlike(ENDED)
+    for name, rule in LINE_RULES.items():
+        ok = ok & ~((marked & line.rlike(rule)) if name in MARKED_RULES else line.rlike(rule))
+    return ok & ~((F.octet_length(line) <= NOTICE_BYTES) & line.rlike(BOILERPLATE))
 
 
 def repeated_words(tokens: Column) -> Column:
@@ -73,10 +80,21 @@ def repeated_words(tokens: Column) -> Column:
             let(F.array_sort(pairs), found_twice)
         )
 
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(tokens, i, WINDOW))
-    )
-    return F.when(F.size(tokens) <= WINDOW, F.lit(0).cast("long")).otherwise(let(windows, ranked))
+    def doubled(hashes: Column, reach: int) -> Column:
+        """Hashes of twice as many words: each entry with the one ``reach`` places on (null at the end: shorter)."""
+        return F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + reach)))
+
+    def of_eight(four: Column) -> Column:
+        eight = F.slice(doubled(four, 4), F.lit(1), F.size(tokens) - (WINDOW - 1))
+        fours = F.slice(four, F.lit(1), F.size(tokens) - 3)
+        # Without a repeated run of four words there is none of eight.
+        return F.when(F.size(F.array_distinct(fours)) == F.size(fours), F.lit(0).cast("long")).otherwise(let(eight, ranked))
+
+    def of_four(single: Column) -> Column:
+        return let(let(doubled(single, 1), lambda h: doubled(h, 2)), of_eight)
+
+    hashes = F.transform(tokens, lambda w: F.xxhash64(w))
+    return F.when(F.size(tokens) <= WINDOW, F.lit(0).cast("long")).otherwise(let(hashes, of_four))
 
 
 def clean(
@@ -88,42 +106,38 @@ def clean(
     that stay, empty ones included), base_failed, kept. A null text counts as empty: no words, so it is rejected.
     Repeated rows get equal results. A column of the name ``output`` is replaced.
     """
-    text, tokens, lines, filled = fresh("text", "tokens", "lines", "filled")
+    text, tokens, lines, filled, marked = fresh("text", "tokens", "lines", "filled", "marked")
     has_word = r"[^\x20\x09-\x0D]"
     df = docs.withColumn(text, F.coalesce(F.col(text_column), F.lit("")))
     df = df.withColumn(tokens, words(F.col(text))).withColumn(lines, F.split(F.col(text), "\n"))
+    df = df.withColumn(marked, F.col(text).rlike(MARKED))
     df = df.withColumn(filled, F.filter(F.col(lines), lambda x: x.rlike(has_word)))
-    kept_lines, counted = fresh("kept", "counted")
-    df = df.withColumn(kept_lines, F.filter(F.col(lines), lambda x: ~x.rlike(has_word) | line_passes(x)))
-    n_words = F.size(tokens).cast("long")
-    df = df.withColumn(
-        counted,
-        F.struct(
-            n_words.alias("n_words"),
-            F.char_length(F.array_join(F.col(tokens), "")).cast("long").alias("word_chars"),
-            F.char_length(F.regexp_replace(F.col(text), "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-            (F.size(filled) - F.size(F.array_distinct(F.col(filled)))).cast("long").alias("n_dup_lines"),
-            repeated_words(F.col(tokens)).alias("n_repeat_words"),
-            F.size(filled).cast("long").alias("n_lines"),
-            F.char_length(F.array_join(F.col(filled), "")).cast("long").alias("line_chars"),
-            F.array_join(F.col(kept_lines), "\n").alias("cleaned"),
-            F.size(kept_lines).cast("long").alias("n_kept"),
-            F.size(lines).cast("long").alias("n_all"),
-        ),
-    )
-    c = F.col(counted)
-    base_failed = (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])
-    kept_chars = F.char_length(F.regexp_replace(c["cleaned"], "\n", ""))
-    lost_too_much = kept_chars < F.lit(float(min_kept)) * c["line_chars"]
-    fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
-    result = F.struct(
-        *[c[f].alias(f) for f in fields],
-        (c["n_lines"] - (c["n_all"] - c["n_kept"])).alias("n_lines_kept"),
-        c["cleaned"].alias("cleaned"),
-        base_failed.alias("base_failed"),
-        (~base_failed & ~lost_too_much).alias("kept"),
+    (kept_lines,) = fresh("kept")
+    df = df.withColumn(kept_lines, F.filter(F.col(lines), lambda x: ~x.rlike(has_word) | line_passes(x, F.col(marked))))
+    measures = F.struct(
+        F.size(tokens).cast("long").alias("n_words"),
+        F.char_length(F.array_join(F.col(tokens), "")).cast("long").alias("word_chars"),
+        F.char_length(F.regexp_replace(F.col(text), "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        (F.size(filled) - F.size(F.array_distinct(F.col(filled)))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col(tokens)).alias("n_repeat_words"),
+        F.size(filled).cast("long").alias("n_lines"),
+        F.char_length(F.array_join(F.col(filled), "")).cast("long").alias("line_chars"),
+        F.array_join(F.col(kept_lines), "\n").alias("cleaned"),
+        F.char_length(F.array_join(F.col(kept_lines), "")).cast("long").alias("kept_chars"),
+        (F.size(lines) - F.size(kept_lines)).cast("long").alias("n_removed"),
     )
-    return df.withColumn(output, result).drop(text, tokens, lines, filled, kept_lines, counted)
+
+    def verdict(m: Column) -> Column:
+        fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "cleaned"]
+        base_failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+        return F.struct(
+            *[m[f].alias(f) for f in fields],
+            (m["n_lines"] - m["n_removed"]).alias("n_lines_kept"),
+            base_failed.alias("base_failed"),
+            (~base_failed & (m["kept_chars"] >= F.lit(float(min_kept)) * m["line_chars"])).alias("kept"),
+        )
+
+    return df.withColumn(output, let(measures, verdict)).drop(text, tokens, lines, filled, marked, kept_lines)
 
 
 def filter_documents(docs: DataFrame, text_column: str = "text") -> DataFrame:
