@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitloom.llm import packing, quality_rules, sharding
+from hitloom.llm import html_main, language_id, packing, quality_fm, quality_rules, sharding, toxicity
 from hitloom.llm.common import table
 from hitloom.llm.expected import ORACLE_SQL
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.report(table(spark, folder, "documents"))
 
@@ -19,14 +27,22 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_fm.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(spark, folder, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_main.extract(table(spark, folder, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    named = (op3_quality_rules, op4_best_fit_packing, op7_sharding)
+    named = [f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()]
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
