@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitloom.llm import html_main, language_id, packing, quality_fm, quality_rules, sharding, toxicity
+from hitloom.llm import html_main, jaccard_join, language_id, packing, quality_fm, quality_rules, sharding, toxicity
 from hitloom.llm.common import table
 from hitloom.llm.expected import ORACLE_SQL
 
@@ -39,6 +39,10 @@ def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_main.extract(table(spark, folder, "pages"))
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.join(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
