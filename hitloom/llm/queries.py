@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitloom.llm import html_main, jaccard_join, language_id, packing, quality_fm, quality_rules, sharding, toxicity
+from hitloom.llm import fingerprints, html_main, jaccard_join, language_id, packing, quality_fm, quality_rules, sharding, toxicity
 from hitloom.llm.common import table
 from hitloom.llm.expected import ORACLE_SQL
 
@@ -35,6 +35,10 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(spark, folder, "documents"))
 
 
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare_neighbours(table(spark, folder, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_main.extract(table(spark, folder, "pages"))
 
