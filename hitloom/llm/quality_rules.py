@@ -143,7 +143,8 @@ def clean(
 def filter_documents(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The kept documents with their cleaned text; the columns stay as they are (``n_chars``, if there, follows)."""
     (q,) = fresh("quality")
-    df = clean(docs, text_column, output=q).filter(F.col(q)["kept"])
+    # Out of a generator, so that the filter is not pushed down to evaluate the rules again for every use.
+    df = clean(docs, text_column, output=q).withColumn(q, F.explode(F.array(q))).filter(F.col(q)["kept"])
     df = df.withColumn(text_column, F.col(q)["cleaned"])
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.char_length(F.col(text_column)).cast(docs.schema["n_chars"].dataType))
