@@ -29,6 +29,8 @@ from hitloom.llm.common import Words, slices, stored
 SHINGLE = 5
 THRESHOLD = 75
 GROUPS = 64
+#: Groups of the finer point that pairs are held against before their sets are fetched; 64 say little of long texts.
+FINE_GROUPS = 1024
 #: Cells that shingles are counted in; only the order of shingles depends on them.
 CELL_BITS = 20
 #: Rows of a block that one tree holds; larger blocks are compared tile by tile.
@@ -62,6 +64,10 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def point_of(s: np.ndarray, groups: int) -> bytes:
+    return np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups).astype("<u4").tobytes()
+
+
 def _class_of(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)))))
 
@@ -114,7 +120,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 level = levels[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
                 order = np.lexsort((s * _STEP, level))[:first]
                 keys.append(s[order].view(np.int64))
-                points.append(np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
+                points.append(point_of(s, GROUPS))
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "keys", "point"])
 
@@ -123,42 +129,42 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def blocks(signed: DataFrame) -> DataFrame:
-    """key, cls and pivot (the block's first class) of all blocks with two classes or more.
+    """key, cls, pivot (the block's first class) and the sizes of both, of all blocks with two classes or more.
 
     The rows are sorted by key, and a task reads them as a stream, so a block of any size takes no memory.
     """
-    rows = signed.filter(F.col("keys").isNotNull()).select("cls", F.explode("keys").alias("key"))
+    rows = signed.filter(F.col("keys").isNotNull()).select("cls", "n", F.explode("keys").alias("key"))
     rows = rows.repartition("key").sortWithinPartitions("key", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row: key, class, its block's pivot, whether it has been written
+        held = None  # the last row: key, class, size, its block's pivot and the pivot's size, whether it has been written
         for batch in batches:
-            key, cls = batch.column("key").to_numpy(), batch.column("cls").to_numpy()
+            key, cls, n = (batch.column(c).to_numpy() for c in ("key", "cls", "n"))
             if held is not None:
-                key, cls = np.concatenate([[held[0]], key]), np.concatenate([[held[1]], cls])
+                key, cls, n = (np.concatenate([[h], x]) for h, x in zip(held, (key, cls, n)))
             if not len(key):
                 continue
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
-            key, cls = key[new], cls[new]
+            key, cls, n = key[new], cls[new], n[new]
             starts = np.concatenate([[True], key[1:] != key[:-1]])
-            pivot = cls[np.maximum.accumulate(np.where(starts, np.arange(len(key)), 0))]
+            first = np.maximum.accumulate(np.where(starts, np.arange(len(key)), 0))
+            pivot, pivot_n = cls[first], n[first]
             more = np.concatenate([key[1:] == key[:-1], [False]])
             keep = ~starts | more
             if held is not None:
-                pivot[key == held[0]] = held[2]
-                keep[0] = more[0] and not held[3]
-                held_written = held[3] or bool(keep[0])
-            if held is not None and len(key) == 1:
-                held = (key[0], cls[0], held[2], held[3])
-                continue
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(cls[keep]), pa.array(pivot[keep])], ["key", "cls", "pivot"])
-            held = (key[-1], cls[-1], pivot[-1], bool(keep[-1]) if len(key) > 1 or held is None else held_written)
+                pivot[key == held[0]], pivot_n[key == held[0]] = held[3], held[4]
+                keep[0] = more[0] and not held[5]
+                if len(key) == 1:
+                    continue
+            columns = {"key": key, "cls": cls, "n": n, "pivot": pivot, "pivot_n": pivot_n}
+            yield pa.RecordBatch.from_pydict({name: x[keep] for name, x in columns.items()})
+            held = (key[-1], cls[-1], n[-1], pivot[-1], pivot_n[-1], bool(keep[-1]))
 
-    return rows.select("key", "cls").mapInArrow(run, "key long, cls long, pivot long")
+    return rows.select("key", "cls", "n").mapInArrow(run, "key long, cls long, n long, pivot long, pivot_n long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls and shingles of the classes in ``wanted``, one row each.
+def sets_of(docs: DataFrame, wanted: DataFrame, fine: bool = False) -> DataFrame:
+    """cls and shingles of the classes in ``wanted``, one row each; if ``fine``, n and their fine point instead.
 
     A bit table of fixed size (2 MB), computed from all wanted classes, keeps most others from being shuffled.
     """
@@ -172,7 +178,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = shared.value, set()
         for batch in slices(batches):
-            cls, sets = [], []
+            cls, sets, n = [], [], []
             for s in shingle_sets(batch.column("text")):
                 c = _class_of(s) if len(s) else None
                 if c is None or c in seen:
@@ -183,10 +189,17 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         seen.clear()
                     seen.add(c)
                     cls.append(c)
-                    sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "shingles"])
+                    n.append(len(s))
+                    sets.append(point_of(s, FINE_GROUPS) if fine else s.view(np.int64))
+            if fine:
+                yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "n": pa.array(n, pa.int64()), "point": pa.array(sets, pa.binary())})
+            else:
+                yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
 
-    found = docs.select("text").mapInArrow(run, "cls long, shingles array<long>").join(wanted.select("cls"), "cls", "left_semi")
+    schema = "cls long, n long, point binary" if fine else "cls long, shingles array<long>"
+    found = docs.select("text").mapInArrow(run, schema).join(wanted.select("cls"), "cls", "left_semi")
+    if fine:
+        return found.groupBy("cls").agg(F.any_value("n").alias("n"), F.any_value("point").alias("point"))
     return found.groupBy("cls").agg(F.any_value("shingles").alias("shingles"))
 
 
@@ -222,15 +235,15 @@ def may_link(overlap: np.ndarray, size_a, size_b) -> np.ndarray:
     return (100 + THRESHOLD) * overlap.astype(np.int64) >= THRESHOLD * (size_a + size_b)
 
 
-def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
+def bounded(pairs: DataFrame, points: DataFrame, groups: int = GROUPS) -> DataFrame:
     """The pairs (a, b) whose points allow a link."""
     with_points = pairs.join(points.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("p_a")), "a")
     with_points = with_points.join(points.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("p_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS) for c in ("p_a", "p_b"))
+        for whole in batches:
+            for batch in slices(iter([whole]), "p_a"):
+                p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, groups) for c in ("p_a", "p_b"))
                 ok = may_link(np.minimum(p, q).sum(axis=1), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
@@ -239,8 +252,10 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return fits.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs with whether they link, by their sets."""
+def verified(docs: DataFrame, pairs: DataFrame, fine: DataFrame) -> DataFrame:
+    """The pairs that the fine points let through, with whether they link by their sets, which only then are fetched."""
+    pairs = stored(bounded(pairs, fine, FINE_GROUPS), "pairs")
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("s_a")), "a")
     both = both.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("s_b")), "b")
     both = both.select("a", "b", (F.size("s_a") + F.size("s_b")).alias("total"), F.size(F.array_intersect("s_a", "s_b")).alias("common"))
@@ -337,9 +352,11 @@ def join(docs: DataFrame) -> DataFrame:
     rows = stored(blocks(signed), "blocks")
     wanted = rows.select("cls").distinct()
     points = stored(classes.join(wanted, "cls", "left_semi"), "points")
-    sets = stored(sets_of(docs, wanted), "sets")
-    pairs = rows.filter("cls <> pivot").select(*ordered("cls", "pivot")).distinct()
-    done = stored(verified(bounded(pairs, points), sets), "verified")
+    fine = stored(sets_of(docs, wanted, fine=True), "fine")
+    like_sizes = f"cls <> pivot and 100 * least(n, pivot_n) >= {THRESHOLD} * greatest(n, pivot_n)"
+    pairs = rows.filter(like_sizes).select(*ordered("cls", "pivot")).distinct()
+    rows = rows.select("key", "cls", "pivot")
+    done = stored(verified(docs, bounded(pairs, points), fine), "verified")
     roots = components(done.filter("linked"))
     apart = stored(_apart(rows, roots), "apart")
     for turn in range(MAX_PIVOT_ROUNDS):
@@ -353,11 +370,11 @@ def join(docs: DataFrame) -> DataFrame:
         pivots = apart.groupBy("key").agg(pick.alias("other"), F.min_by("root", F.xxhash64("cls", F.lit(turn))).alias("other_root"))
         more = apart.join(pivots, "key").filter("root <> other_root").select(*ordered("cls", "other")).distinct()
         more = more.join(done, ["a", "b"], "left_anti")
-        done = stored(done.unionByName(verified(bounded(more, points), sets)), "verified")
+        done = stored(done.unionByName(verified(docs, bounded(more, points), fine)), "verified")
         roots = components(done.filter("linked"))
         apart = stored(_apart(rows, roots), "apart")
     more = tree_pairs(apart.select("key", "cls", "root"), points).join(done, ["a", "b"], "left_anti")
-    last = stored(verified(more, sets).filter("linked"), "links")
+    last = stored(verified(docs, more, fine).filter("linked"), "links")
     roots = components(done.filter("linked").unionByName(last))
     ids = signed.groupBy("cls").agg(F.min("doc_id").alias("id")).filter("cls is not null")
     in_component = ids.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
