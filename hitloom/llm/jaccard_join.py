@@ -28,9 +28,13 @@ from hitloom.llm.common import Words, slices, stored
 
 SHINGLE = 5
 THRESHOLD = 75
-GROUPS = 64
-#: Groups of the finer point that pairs are held against before their sets are fetched; 64 say little of long texts.
+GROUPS = 256
+#: Groups that the nodes of the tree tell apart (points are folded to them); its finds are held against whole points.
+TREE_GROUPS = 64
+#: Groups of the finer point that pairs are held against before their sets are fetched; fewer say little of long texts.
 FINE_GROUPS = 1024
+#: A count is one byte; this one stands for itself and all above, and bounds nothing where both points have it.
+FULL = 255
 #: Cells that shingles are counted in; only the order of shingles depends on them.
 CELL_BITS = 20
 #: Rows of a block that one tree holds; larger blocks are compared tile by tile.
@@ -65,7 +69,22 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
 
 
 def point_of(s: np.ndarray, groups: int) -> bytes:
-    return np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups).astype("<u4").tobytes()
+    counts = np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups)
+    return np.minimum(counts, FULL).astype(np.uint8).tobytes()
+
+
+def points_of(column: pa.Array | pa.ChunkedArray, groups: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, groups)
+
+
+def folded(points: np.ndarray, groups: int) -> np.ndarray:
+    return np.minimum(points.reshape(len(points), -1, groups).sum(axis=1, dtype=np.int64), FULL).astype(np.uint8)
+
+
+def most_common(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """What the points allow the overlap to be at most: the sum of the smaller counts, or no bound."""
+    least = np.minimum(p, q)
+    return np.where((least == FULL).any(axis=1), np.int64(1) << 40, least.sum(axis=1, dtype=np.int64))
 
 
 def _class_of(s: np.ndarray) -> int:
@@ -95,16 +114,16 @@ def frequent_cells(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, cls (the set's hash), keys (the first shingles in the common order) and point of every document.
+    """doc_id, n, cls (the set's hash), keys (the first shingles in the common order), point and fine point of every document.
 
-    Of equal sets in one task only the first row has keys and a point. Sets without shingles have none and no class.
+    Of equal sets in one task only the first row has keys and points. Sets without shingles have none and no class.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent_cells(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = shared.value, set()
         for batch in slices(batches):
-            n, cls, keys, points = [], [], [], []
+            n, cls, keys, points, fine = [], [], [], [], []
             for s in shingle_sets(batch.column("text")):
                 n.append(len(s))
                 c = _class_of(s) if len(s) else None
@@ -112,6 +131,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 if c is None or c in seen:
                     keys.append(None)
                     points.append(None)
+                    fine.append(None)
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
@@ -121,10 +141,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 order = np.lexsort((s * _STEP, level))[:first]
                 keys.append(s[order].view(np.int64))
                 points.append(point_of(s, GROUPS))
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "keys", "point"])
+                fine.append(point_of(s, FINE_GROUPS))
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary()), pa.array(fine, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "keys", "point", "fine"])
 
-    schema = docs.select("doc_id").schema.add("n", "long").add("cls", "long").add("keys", ArrayType(LongType())).add("point", "binary")
+    schema = docs.select("doc_id").schema.add("n", "long").add("cls", "long").add("keys", ArrayType(LongType())).add("point", "binary").add("fine", "binary")
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -163,8 +184,8 @@ def blocks(signed: DataFrame) -> DataFrame:
     return rows.select("key", "cls", "n").mapInArrow(run, "key long, cls long, n long, pivot long, pivot_n long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, fine: bool = False) -> DataFrame:
-    """cls and shingles of the classes in ``wanted``, one row each; if ``fine``, n and their fine point instead.
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls and shingles of the classes in ``wanted``, one row each.
 
     A bit table of fixed size (2 MB), computed from all wanted classes, keeps most others from being shuffled.
     """
@@ -178,7 +199,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, fine: bool = False) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = shared.value, set()
         for batch in slices(batches):
-            cls, sets, n = [], [], []
+            cls, sets = [], []
             for s in shingle_sets(batch.column("text")):
                 c = _class_of(s) if len(s) else None
                 if c is None or c in seen:
@@ -189,17 +210,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, fine: bool = False) -> DataFrame
                         seen.clear()
                     seen.add(c)
                     cls.append(c)
-                    n.append(len(s))
-                    sets.append(point_of(s, FINE_GROUPS) if fine else s.view(np.int64))
-            if fine:
-                yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "n": pa.array(n, pa.int64()), "point": pa.array(sets, pa.binary())})
-            else:
-                yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+                    sets.append(s.view(np.int64))
+            yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
 
-    schema = "cls long, n long, point binary" if fine else "cls long, shingles array<long>"
-    found = docs.select("text").mapInArrow(run, schema).join(wanted.select("cls"), "cls", "left_semi")
-    if fine:
-        return found.groupBy("cls").agg(F.any_value("n").alias("n"), F.any_value("point").alias("point"))
+    found = docs.select("text").mapInArrow(run, "cls long, shingles array<long>").join(wanted.select("cls"), "cls", "left_semi")
     return found.groupBy("cls").agg(F.any_value("shingles").alias("shingles"))
 
 
@@ -226,13 +240,13 @@ class CountTree:
             else:
                 some = (some[:, None] * LEAF + np.arange(LEAF)).ravel()
                 some = some[some < len(top)]
-            some = some[may_link(np.minimum(top[some], point).sum(axis=1), size, least[some])]
+            some = some[may_link(most_common(top[some], point), size, least[some])]
         return self.order[some]
 
 
 def may_link(overlap: np.ndarray, size_a, size_b) -> np.ndarray:
     """Whether an overlap of at most this much can give the threshold; sizes may be lower bounds."""
-    return (100 + THRESHOLD) * overlap.astype(np.int64) >= THRESHOLD * (size_a + size_b)
+    return (100 + THRESHOLD) * overlap >= THRESHOLD * (size_a + size_b)
 
 
 def bounded(pairs: DataFrame, points: DataFrame, groups: int = GROUPS) -> DataFrame:
@@ -243,8 +257,8 @@ def bounded(pairs: DataFrame, points: DataFrame, groups: int = GROUPS) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(iter([whole]), "p_a"):
-                p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, groups) for c in ("p_a", "p_b"))
-                ok = may_link(np.minimum(p, q).sum(axis=1), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+                p, q = (points_of(batch.column(c), groups) for c in ("p_a", "p_b"))
+                ok = may_link(most_common(p, q), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     # Sizes alone rule out most pairs before the points are looked at.
@@ -306,23 +320,26 @@ def tree_pairs(rows: DataFrame, points: DataFrame) -> DataFrame:
     rows = rows.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "cls", "root")
     rows = rows.join(points, "cls").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def compare(cls, root, tile, n, points, i, j) -> Iterator[tuple[int, int]]:
+    def compare(cls, root, tile, n, points, i, j) -> Iterator[np.ndarray]:
         one, two = (np.flatnonzero(tile == x) for x in (i, j))
-        tree = CountTree(points[two].astype(np.int64), n[two])
+        coarse = folded(points, TREE_GROUPS)
+        tree = CountTree(coarse[two], n[two])
         for x in one.tolist():
-            for y in two[tree.reach(points[x], n[x])].tolist():
-                if root[x] != root[y] and (i != j or cls[x] < cls[y]):
-                    yield min(cls[x], cls[y]), max(cls[x], cls[y])
+            y = two[tree.reach(coarse[x], n[x])]
+            y = y[(root[y] != root[x]) & ((cls[y] > cls[x]) | (i != j))]
+            y = y[may_link(most_common(points[y], points[x]), n[x], n[y])]
+            if len(y):
+                yield np.stack([np.minimum(cls[y], cls[x]), np.maximum(cls[y], cls[x])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(t: pa.Table) -> pa.RecordBatch:
             key, i, j, tile, cls, root, n = (t[c].to_numpy() for c in ("key", "i", "j", "tile", "cls", "root", "n"))
-            pts = np.frombuffer(b"".join(t["point"].to_pylist()), "<u4").reshape(-1, GROUPS)
+            pts = points_of(t["point"], GROUPS)
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            found: set[tuple[int, int]] = set()
+            found = [np.empty((2, 0), np.int64)]
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
-                found.update(compare(cls[a:b], root[a:b], tile[a:b], n[a:b], pts[a:b], i[a], j[a]))
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+                found.extend(compare(cls[a:b], root[a:b], tile[a:b], n[a:b], pts[a:b], i[a], j[a]))
+            return pa.RecordBatch.from_arrays(list(np.unique(np.concatenate(found, axis=1), axis=1)), ["a", "b"])
 
         waiting: list[pa.RecordBatch] = []
         for batch in batches:
@@ -348,11 +365,12 @@ def join(docs: DataFrame) -> DataFrame:
     their component. An empty table gives no rows. Columns besides doc_id and text play no part.
     """
     signed = stored(signatures(docs), "signatures")
-    classes = signed.filter("point is not null").groupBy("cls").agg(F.any_value("n").alias("n"), F.any_value("point").alias("point"))
+    classes = signed.filter("point is not null").groupBy("cls").agg(F.any_value("n").alias("n"), F.any_value("point").alias("point"), F.any_value("fine").alias("fine"))
     rows = stored(blocks(signed), "blocks")
     wanted = rows.select("cls").distinct()
     points = stored(classes.join(wanted, "cls", "left_semi"), "points")
-    fine = stored(sets_of(docs, wanted, fine=True), "fine")
+    fine = points.select("cls", "n", F.col("fine").alias("point"))
+    points = points.drop("fine")
     like_sizes = f"cls <> pivot and 100 * least(n, pivot_n) >= {THRESHOLD} * greatest(n, pivot_n)"
     pairs = rows.filter(like_sizes).select(*ordered("cls", "pivot")).distinct()
     rows = rows.select("key", "cls", "pivot")
