@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitloom.llm import fingerprints, html_main, jaccard_join, language_id, packing, quality_fm, quality_rules, sharding, toxicity
+from hitloom.llm import fingerprints, html_main, jaccard_join, language_id, packing, pieces, quality_fm, quality_rules, sharding, toxicity
 from hitloom.llm.common import table
 from hitloom.llm.expected import ORACLE_SQL
 
@@ -31,6 +31,10 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_fm.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digest(table(spark, folder, "documents"))
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(spark, folder, "documents"))
 
