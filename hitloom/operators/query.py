@@ -92,11 +92,11 @@ def rows_nth(parsed: DataFrame, n: int) -> DataFrame:
 
 
 def rows_export(parsed: DataFrame, spec: QuerySpec) -> DataFrame:
-    """Newest requests first, fixed columns."""
+    """All requests, newest first, fixed columns."""
     df = selected(parsed, spec)
     if "country" not in df.columns:
         df = df.withColumn("country", F.lit(None).cast("string"))
-    return df.orderBy(F.desc("ts_utc"), *[c for c in _ties(df) if c != "ts_utc"]).select(*EXPORT_COLUMNS).limit(spec.limit)
+    return df.orderBy(F.desc("ts_utc"), *[c for c in _ties(df) if c != "ts_utc"]).select(*EXPORT_COLUMNS)
 
 
 # Groups ---------------------------------------------------------------------------------------------------

@@ -385,7 +385,7 @@ FILTERS = {
     "flt_search_wildcard": FilterSpec(search="t_am-%", search_field="path"),
     "flt_path_prefix": FilterSpec(path_prefixes=("/un",), not_path_prefixes=("/unknown/page-1",)),
     "flt_path_rules": FilterSpec(path_rules=filters.parse_path_rules(
-        ["contains:_nuxt", r"regex:^/fr/.*-[0-3]$", "regex:(", "contains:", "bad:x"]), path_rules_join="or"),
+        ["contains:_nuxt", r"regex:^/fr/.*-[0-3]$"]), path_rules_join="or"),
     "flt_path_rules_and": FilterSpec(path_rules=(("contains", "/PAGE-"), ("not_contains", "-1"))),
     "flt_exclude": FilterSpec(exclude={"country": ("US",), "bot_family": ("Googlebot", "GPTBot"),
                                        "utm_source": ("news",), "status": (200,)}),
@@ -487,7 +487,7 @@ def queries() -> dict[str, Query]:
         # Query modes.
         "q_rows": shaped(query.rows, QuerySpec(date_from=RANGE[0], date_to=RANGE[1], per_page=200,
                                                filters=FilterSpec(include={"status_class": (5,)}))),
-        "q_rows_export": shaped(query.rows_export, QuerySpec(limit=10_000)),
+        "q_rows_export": shaped(query.rows_export, QuerySpec()),
         "q_group": shaped(query.group, QuerySpec(mode="group", group_by="country", group_by_2="status_class",
                                                  sort_by="unique_ips")),
         "dim_exprs": shaped(query.group, QuerySpec(mode="group", group_by="path_segment_2", group_by_2="path_depth")),

@@ -540,7 +540,7 @@ def oracle_sql() -> dict[str, str]:
         "rows_nth": "SELECT ts_utc, path, edge_ip, status, bytes_sent FROM parsed ORDER BY ts_utc, path, edge_ip, method, status, bytes_sent, user_agent, request_target, referer NULLS FIRST LIMIT 1 OFFSET 100",
         **{name: agg(f"{n()} AS n, {SIZE}", "path", "status", where=where) for name, where in FILTERS.items()},
         "q_rows": "SELECT ts_utc, path, edge_ip, method, status, bytes_sent, country, locale, is_bot, bot_family, user_agent, url_group, referer, referer_type, utm_source_norm FROM parsed WHERE status_class = 5 AND date BETWEEN '2024-01-05' AND '2024-01-20' ORDER BY ts_utc DESC, path, edge_ip, method, status, bytes_sent, user_agent, request_target, referer NULLS FIRST LIMIT 200",
-        "q_rows_export": "SELECT ts_utc, edge_ip, method, path, status, bytes_sent, is_bot, bot_family, bot_category, user_agent, url_group, locale, referer, referer_type, utm_source_norm, country FROM parsed ORDER BY ts_utc DESC, path, edge_ip, method, status, bytes_sent, user_agent, request_target, referer NULLS FIRST LIMIT 10000",
+        "q_rows_export": "SELECT ts_utc, edge_ip, method, path, status, bytes_sent, is_bot, bot_family, bot_category, user_agent, url_group, locale, referer, referer_type, utm_source_norm, country FROM parsed ORDER BY ts_utc DESC, path, edge_ip, method, status, bytes_sent, user_agent, request_target, referer NULLS FIRST",
         "q_group": grouped("country", "status_class", "unique_ips"),
         "dim_exprs": grouped("path_segment_2", "path_depth"),
         "q_waste_score": grouped("bot_family", sort="waste_score"),

@@ -66,34 +66,34 @@ def summary_kpis(daily: DataFrame, current: Period, previous: Period) -> DataFra
     )
 
 
-def issue_404(top_4xx_daily: DataFrame) -> DataFrame:
-    """Of the five paths with most human client errors, those with more than ten."""
+def issue_404(top_4xx_daily: DataFrame, limit: int = ISSUES_PER_KIND) -> DataFrame:
+    """Of the ``limit`` paths with most human client errors, those with more than ten."""
     top = (
         top_4xx_daily.groupBy("path")
         .agg(F.sum("s404").alias("errors"), F.sum(F.col("hits_4xx") - F.col("hits_4xx_bot")).alias("human_errors"))
-        .where(F.col("errors") > 0).orderBy(F.desc("human_errors"), "path").limit(ISSUES_PER_KIND)
+        .where(F.col("errors") > 0).orderBy(F.desc("human_errors"), "path").limit(limit)
     )
     human = F.col("human_errors")
     return top.where(human > 10).withColumn("severity", F.when(human > 100, "high").otherwise("medium"))
 
 
-def issue_5xx(top_5xx_daily: DataFrame) -> DataFrame:
+def issue_5xx(top_5xx_daily: DataFrame, limit: int = ISSUES_PER_KIND) -> DataFrame:
     errors, days = F.col("errors"), F.col("days_affected")
     top = (
         top_5xx_daily.groupBy("path")
         .agg(F.sum("hits_5xx").alias("errors"), F.count_distinct("date").alias("days_affected"))
-        .where(errors > 0).orderBy(F.desc("errors"), "path").limit(ISSUES_PER_KIND)
+        .where(errors > 0).orderBy(F.desc("errors"), "path").limit(limit)
     )
     return top.where(errors > 5).withColumn(
         "severity", F.when((errors > 50) | (days > 3), "high").otherwise("medium"))
 
 
-def issue_wasteful_bot(wasted_crawl_daily: DataFrame) -> DataFrame:
+def issue_wasteful_bot(wasted_crawl_daily: DataFrame, limit: int = ISSUES_PER_KIND) -> DataFrame:
     top = (
         wasted_crawl_daily.groupBy("bot_family")
         .agg(F.sum("bot_hits").alias("hits"), F.sum("error_bot_hits").alias("errors"),
              F.sum("waste_score").alias("waste"))
-        .orderBy(F.desc("waste"), "bot_family").limit(ISSUES_PER_KIND)
+        .orderBy(F.desc("waste"), "bot_family").limit(limit)
     )
     return (top.where(F.col("waste") > 50)
             .withColumn("error_pct", pct(F.col("errors"), F.col("hits")))
@@ -157,19 +157,24 @@ def locale_non_resource(locale_daily: DataFrame) -> DataFrame:
     ).orderBy(F.desc("hits_non_resource"), "locale")
 
 
-def locale_groups(locale_group_daily: DataFrame, locales=(), url_groups=(), limit: int = 200) -> DataFrame:
+def first_rows(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(limit)
+
+
+def locale_groups(locale_group_daily: DataFrame, locales=(), url_groups=(), limit: int | None = 200) -> DataFrame:
+    """Locales and URL groups with most hits; all of them without a limit."""
     df = locale_group_daily
     if locales:
         df = df.where(F.col("locale").isin(list(locales)))
     if url_groups:
         df = df.where(F.col("url_group").isin(list(url_groups)))
     return df.groupBy("locale", "url_group").agg(*sums("hits", "hits_bot", "hits_human", "s4xx", "s5xx")).orderBy(
-        F.desc("hits"), "locale", "url_group").limit(limit)
+        F.desc("hits"), "locale", "url_group").transform(first_rows, limit)
 
 
-def locale_group_matrix(locale_group_daily: DataFrame, url_groups, **kwargs) -> DataFrame:
-    """Hits by locale with one column per listed URL group."""
-    cells = locale_groups(locale_group_daily, url_groups=url_groups, **kwargs)
+def locale_group_matrix(locale_group_daily: DataFrame, url_groups, locales=()) -> DataFrame:
+    """Hits by locale, of every locale, with one column per listed URL group."""
+    cells = locale_groups(locale_group_daily, locales, url_groups, limit=None)
     return cells.groupBy("locale").pivot("url_group", list(url_groups)).agg(F.sum("hits")).na.fill(0).orderBy("locale")
 
 
@@ -195,10 +200,10 @@ def _averages() -> list[Column]:
     return [F.avg("ctr").alias("avg_ctr"), F.avg("position").alias("avg_position")]
 
 
-def search_top_pages(gsc_daily: DataFrame, limit: int = 200) -> DataFrame:
+def search_top_pages(gsc_daily: DataFrame, limit: int | None = 200) -> DataFrame:
     return gsc_daily.where("has_impressions").groupBy("page").agg(
         *sums("clicks", "impressions"), *_averages(), *sums("crawl_hits")).orderBy(
-        F.desc("clicks"), "page").limit(limit)
+        F.desc("clicks"), "page").transform(first_rows, limit)
 
 
 def search_top_queries(search_perf: DataFrame, limit: int = 200) -> DataFrame:
@@ -206,23 +211,23 @@ def search_top_queries(search_perf: DataFrame, limit: int = 200) -> DataFrame:
         *sums("clicks", "impressions"), *_averages()).orderBy(F.desc("impressions"), "query").limit(limit)
 
 
-def crawl_no_impressions(gsc_daily: DataFrame, limit: int = 200) -> DataFrame:
+def crawl_no_impressions(gsc_daily: DataFrame, limit: int | None = 200) -> DataFrame:
     return gsc_daily.where(F.col("crawl_hits") > 0).groupBy("page").agg(
         *sums("crawl_hits", "bot_hits", "impressions")).where(F.col("impressions") == 0).orderBy(
-        F.desc("crawl_hits"), "page").limit(limit)
+        F.desc("crawl_hits"), "page").transform(first_rows, limit)
 
 
-def impressions_no_crawl(gsc_daily: DataFrame, limit: int = 200) -> DataFrame:
+def impressions_no_crawl(gsc_daily: DataFrame, limit: int | None = 200) -> DataFrame:
     return gsc_daily.where(F.col("impressions") > 0).groupBy("page").agg(
         *sums("impressions", "clicks"), F.avg("position").alias("avg_position"), *sums("crawl_hits"),
-    ).where(F.col("crawl_hits") == 0).orderBy(F.desc("impressions"), "page").limit(limit)
+    ).where(F.col("crawl_hits") == 0).orderBy(F.desc("impressions"), "page").transform(first_rows, limit)
 
 
 def crawl_vs_position(gsc_daily: DataFrame, limit: int = 200) -> DataFrame:
     both = (F.col("crawl_hits") > 0) & (F.col("impressions") > 0)
     return gsc_daily.where(both).groupBy("page").agg(
         *sums("crawl_hits"), F.avg("position").alias("avg_position"), *sums("impressions", "clicks"),
-    ).orderBy(F.desc("crawl_hits"), "page").limit(min(limit, 500))
+    ).orderBy(F.desc("crawl_hits"), "page").limit(limit)
 
 
 # Strategic crawl ------------------------------------------------------------------------------------------
@@ -236,11 +241,12 @@ def strategic_bots(gsc_bot_daily: DataFrame, limit: int = 30) -> DataFrame:
 
 
 def choose_bot(gsc_bot_daily: DataFrame, wanted: str = "Googlebot") -> str:
-    """The wanted bot if it is among the 30 most active ones, else Googlebot, else the most active one."""
-    options = [r.bot_family for r in strategic_bots(gsc_bot_daily).take(30)]
-    if wanted in options or not options:
-        return wanted
-    return "Googlebot" if "Googlebot" in options else options[0]
+    """The wanted bot if the table has it, else Googlebot, else the most active one."""
+    for bot in dict.fromkeys((wanted, "Googlebot")):
+        if not _of_bot(gsc_bot_daily, bot).limit(1).isEmpty():
+            return bot
+    first = strategic_bots(gsc_bot_daily, 1).first()
+    return first.bot_family if first else wanted
 
 
 def _of_bot(gsc_bot_daily: DataFrame, bot: str) -> DataFrame:
@@ -410,9 +416,9 @@ CSV_REPORTS = {
     "gsc-high-crawl-no-impressions": ("gsc_daily", lambda t, n: crawl_no_impressions(t, n)),
     "gsc-impressions-no-crawl": ("gsc_daily", lambda t, n: csv_columns(impressions_no_crawl(t, n))),
 }
-CSV_LIMIT = 100_000
 
 
-def csv_report(name: str, tables, date_from=None, date_to=None, limit: int = CSV_LIMIT) -> DataFrame:
+def csv_report(name: str, tables, date_from=None, date_to=None, limit: int | None = None) -> DataFrame:
+    """The rows of a report file: all of them without a limit."""
     table, build = CSV_REPORTS[name]
     return build(between_dates(tables(table), date_from, date_to), limit)

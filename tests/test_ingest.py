@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def text_line(path="/en", agent="Googlebot", day=1):
-    return f'1.1.1.1 - - [0{day}/Jan/2024:10:00:00 +0000] "GET {path} HTTP/1.1" 200 10 "-" "{agent}"\n'.encode()
+    return f'1.1.1.1 - - [0{day}/Jan/2024:10:00:00 +0000] "GET {path} HTTP/1.1" 200 10 "-" "{agent}"\n'.encode("latin-1")
 
 
 def write(folder, name, *content):

@@ -92,3 +92,19 @@ def test_top_urls_are_limited_before_the_shuffle(spark):
     from hitloom.plans import catalog
 
     assert "WindowGroupLimit" in plan(aggregates.bot_top_urls_daily(catalog.parsed(spark, SF)))
+
+
+def test_nothing_is_cut_in_silence(spark):
+    rows = [(f"l{i}", g, 1, 0, 1, 0, 0) for i in range(300) for g in ("About", "Home")]
+    cells = spark.createDataFrame(rows, "locale string, url_group string, hits long, hits_bot long, hits_human long, s4xx long, s5xx long")
+    matrix = reports.locale_group_matrix(cells, ("About", "Home")).collect()
+    assert len(matrix) == 300 and all(r["About"] == r["Home"] == 1 for r in matrix)
+    assert reports.csv_report("locale-groups", lambda name: cells.withColumn("date", F.lit("2024-01-01"))).count() == 600
+    crawl = spark.createDataFrame([(f"bot{i}", 100) for i in range(40)] + [("rare", 1)], "bot_family string, crawl_hits long")
+    assert reports.choose_bot(crawl, "rare") == "rare" and reports.choose_bot(crawl, "none") == "bot0"
+
+
+@pytest.mark.parametrize("rule", ["regex:(", "contains:", "bad:x", "regex:" + "a" * 201])
+def test_unusable_path_rules_are_errors(rule):
+    with pytest.raises(ValueError):
+        filters.parse_path_rules(["contains:ok", rule])
