@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitloom.llm import fingerprints, html_main, jaccard_join, language_id, packing, pieces, quality_fm, quality_rules, sharding, toxicity
+from hitloom.llm import (
+    clustering, filter_audit, fingerprints, html_main, jaccard_join, language_id, mixing, packing, pieces, quality_fm, quality_rules,
+    sharding, toxicity,
+)
 from hitloom.llm.common import table
 from hitloom.llm.expected import ORACLE_SQL
 
@@ -51,6 +54,18 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join(table(spark, folder, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.cluster(table(spark, folder, "embeddings"))
+
+
+def op12_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
