@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,11 +17,10 @@ from pyspark.sql import DataFrame
 
 from hitloom.llm.common import slices
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: Where a tag may end, or a quoted value begin: only after an equals sign does a quote hide an angle bracket.
+STOP = re.compile(r">|=\s*([\"'])")
+RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style noscript template svg textarea title".split()}
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 # Elements that flow within a line of text, and those without an end.
@@ -35,6 +35,10 @@ ASIDE_NAMES = frozenset(
 )
 
 
+# Names that make an advert even of an element within a line.
+AD_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion".split())
+
+
 @dataclass
 class Block:
     words: int
@@ -44,61 +48,111 @@ class Block:
     text: str
 
 
+def names_of(rest: str) -> set[str]:
+    """The words of an element's class, id and role."""
+    return {part for found in NAMES.findall(rest) for part in re.split(r"[^a-z]+", "".join(found).lower())} - {""}
+
+
 def _marks(tag: str, rest: str, in_article: bool) -> tuple[bool, bool]:
     """Whether an element begins main content, and whether it begins something beside it.
 
     A header that lies in an article, and a name such as article-header on it, is the article's own.
     """
-    names = {part for found in NAMES.findall(rest) for part in re.split(r"[^a-z]+", "".join(found).lower())}
+    names = names_of(rest)
     if in_article and (tag == "header" or "header" in names):
         names.discard("header")
         tag = ""
     return tag in CONTENT_TAGS, tag in ASIDE_TAGS or bool(names & ASIDE_NAMES) and tag not in ("html", "body")
 
 
+def tag_end(page: str, at: int, last: int) -> int:
+    """The place of the bracket that ends a tag whose name ends before ``at``, or -1; ``last`` is the page's last one.
+
+    A quoted value that never ends hides nothing: the tag then ends with the first bracket after its beginning.
+    """
+    if at > last:
+        return -1
+    while m := STOP.search(page, at):
+        if not m[1]:
+            return m.start()
+        at = page.find(m[1], m.end()) + 1
+        if not at:
+            return page.find(">", m.end())
+    return -1
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Where markup begins and ends, and of a tag its name, whether it closes, and its attributes.
+
+    Comments, declarations and elements with raw content are markup without a name. Every character is passed a fixed
+    number of times, however broken the page is. A bracket that begins no tag is text.
+    """
+    at, last = page.find("<"), page.rfind(">")
+    while at >= 0:
+        m, end, name, close, rest = None, -1, "", False, ""
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = end + 3 if end >= 0 else len(page)
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) + 1 if at < last else -1
+        elif m := TAG.match(page, at):
+            end = tag_end(page, m.end(), last) + 1 or -1
+            if end > 0:
+                name, close, rest = m[2].lower(), bool(m[1]), page[m.end() : end - 1]
+                if name in RAW and not close:
+                    found = RAW[name].search(page, end)
+                    end, name = found.end() if found else len(page), ""
+        if end > 0:
+            yield at, end, name, close, rest
+            at = page.find("<", end)
+        else:
+            at = page.find("<", at + 1)
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page; scripts, styles, titles, comments and other unseen parts are none."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, in an article, in something beside it
+    is_open: Counter[str] = Counter()
     parts: list[tuple[str, bool]] = []
     linked, at = False, 0
 
     def end_block():
-        words = [(w, in_link) for text, in_link in [("".join(t for t, _ in parts), False)] for w in html.unescape(text).split()]
+        words = html.unescape("".join(text for text, _ in parts)).split()
         if words:
             in_links = sum(len(html.unescape(t).split()) for t, in_link in parts if in_link)
             _, article, aside = stack[-1] if stack else ("", False, False)
-            out.append(Block(len(words), min(1.0, in_links / len(words)), article, aside, " ".join(w for w, _ in words)))
+            out.append(Block(len(words), min(1.0, in_links / len(words)), article, aside, " ".join(words)))
         parts.clear()
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append((page[at : m.start()], linked))
-        at = m.end()
-        tag = (m["tag"] or "").lower()
+    for start, end, tag, close, rest in tags(page):
+        if start > at:
+            parts.append((page[at:start], linked))
+        at = end
         if not tag:
             continue
-        if tag in INLINE:
+        if tag in INLINE and not is_open[tag] and (close or not AD_NAMES & names_of(rest)):
             if tag == "a":
-                linked = not m["close"]
+                linked = not close
             continue
         end_block()
         linked = False
-        if tag in VOID or m["rest"].endswith("/"):
+        if tag in VOID or rest.endswith("/"):
             continue
-        if m["close"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+        if close:
+            while is_open[tag]:
+                name = stack.pop()[0]
+                is_open[name] -= 1
+                if name == tag:
                     break
             continue
         if tag in ("p", "li", "option") and stack and stack[-1][0] == tag:
             stack.pop()
+            is_open[tag] -= 1
         _, article, aside = stack[-1] if stack else ("", False, False)
-        content, beside = _marks(tag, m["rest"], article)
-        if tag in ("head",):
-            beside = True
-        stack.append((tag, article or content, aside or beside))
+        content, beside = _marks(tag, rest, article)
+        stack.append((tag, article or content, aside or beside or tag == "head"))
+        is_open[tag] += 1
     if at < len(page):
         parts.append((re.sub(r"<[a-zA-Z/!][^<]*\Z", "", page[at:]), linked))
     end_block()
@@ -123,6 +177,10 @@ TABLE = [
     (16, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (25, 0.0, 2, 1.0, 2, 1.0, 0, 0, 1), (40, 0.9, 3, 1.0, 3, 1.0, 0, 0, 0), (60, 0.8, 50, 0.0, 4, 1.0, 0, 0, 0),
     (20, 0.6, 3, 1.0, 20, 0.7, 0, 0, 0), (9, 0.0, 25, 0.0, 30, 0.0, 0, 0, 1), (3, 0.0, 30, 0.0, 25, 0.0, 0, 0, 1), (10, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0),
     (200, 0.0, 100, 0.0, 60, 0.0, 0, 0, 1), (200, 0.0, 100, 0.0, 60, 0.0, 0, 1, 0), (2, 0.0, 0, 0.0, 30, 0.0, 1, 0, 1), (12, 1.0, 0, 0.0, 60, 0.0, 1, 0, 1),
+    (22, 0.0, 60, 0.0, 1, 1.0, 1, 0, 1), (8, 0.0, 40, 0.0, 2, 1.0, 1, 0, 1), (14, 0.0, 1, 1.0, 1, 1.0, 1, 0, 1), (50, 0.0, 3, 1.0, 2, 1.0, 1, 0, 1),
+    (3, 0.0, 25, 0.0, 1, 1.0, 1, 0, 1), (20, 0.2, 30, 0.0, 4, 1.0, 1, 0, 1), (30, 0.0, 1, 1.0, 1, 1.0, 0, 1, 0), (18, 0.0, 2, 1.0, 3, 1.0, 0, 1, 0),
+    (60, 0.0, 1, 1.0, 2, 1.0, 0, 1, 0), (35, 0.0, 40, 0.0, 1, 1.0, 0, 1, 0), (24, 0.0, 1, 1.0, 30, 0.0, 1, 1, 0), (45, 0.0, 3, 1.0, 1, 1.0, 1, 1, 0),
+    (12, 0.0, 80, 0.0, 40, 0.0, 1, 1, 0), (28, 0.1, 4, 0.0, 2, 1.0, 0, 1, 0), (40, 0.0, 2, 1.0, 1, 1.0, 0, 0, 1), (30, 0.0, 1, 1.0, 2, 1.0, 0, 0, 1),
 ]
 
 
