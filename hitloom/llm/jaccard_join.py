@@ -20,11 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from hitloom.llm.common import Words, slices, stored
+from hitloom.llm.common import Words, fresh, slices, stored
 
 SHINGLE = 5
 THRESHOLD = 75
@@ -42,6 +42,9 @@ TILE_ROWS = 4096
 LEAF = 16
 #: While the blocks would give more pairs than this many per row, further pivots are tried first.
 PAIRS_PER_ROW, MAX_PIVOT_ROUNDS = 20, 8
+#: Pairs that a row of a tile gives at first, and how that grows while any row had more; a tile's rows end the growth.
+FIRST_ALLOWANCE, ALLOWANCE_STEP = 16, 16
+PAIRS_PER_BATCH = 100_000
 #: Bits of the table that tells most classes without partner apart before their sets are written.
 BITMAP_BITS = 24
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -114,7 +117,7 @@ def frequent_cells(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, cls (the set's hash), keys (the first shingles in the common order), point and fine point of every document.
+    """doc_id, h1, h2 (hashes of the text), n, cls (the set's hash), keys (the first shingles in the common order), point and fine point of every document.
 
     Of equal sets in one task only the first row has keys and points. Sets without shingles have none and no class.
     """
@@ -142,11 +145,17 @@ def signatures(docs: DataFrame) -> DataFrame:
                 keys.append(s[order].view(np.int64))
                 points.append(point_of(s, GROUPS))
                 fine.append(point_of(s, FINE_GROUPS))
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary()), pa.array(fine, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "keys", "point", "fine"])
+            columns = [*(batch.column(c) for c in ("doc_id", "h1", "h2")), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary()), pa.array(fine, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h1", "h2", "n", "cls", "keys", "point", "fine"])
 
-    schema = docs.select("doc_id").schema.add("n", "long").add("cls", "long").add("keys", ArrayType(LongType())).add("point", "binary").add("fine", "binary")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = docs.select("doc_id").schema.add("h1", "long").add("h2", "long").add("n", "long").add("cls", "long").add("keys", ArrayType(LongType())).add("point", "binary").add("fine", "binary")
+    h1, h2 = text_hashes()
+    return docs.select("doc_id", "text", h1.alias("h1"), h2.alias("h2")).mapInArrow(run, schema)
+
+
+def text_hashes() -> tuple[Column, Column]:
+    """Two hashes of the text with different seeds."""
+    return F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text"))
 
 
 def blocks(signed: DataFrame) -> DataFrame:
@@ -266,9 +275,8 @@ def bounded(pairs: DataFrame, points: DataFrame, groups: int = GROUPS) -> DataFr
     return fits.mapInArrow(run, "a long, b long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, fine: DataFrame) -> DataFrame:
-    """The pairs that the fine points let through, with whether they link by their sets, which only then are fetched."""
-    pairs = stored(bounded(pairs, fine, FINE_GROUPS), "pairs")
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The stored pairs with whether they link by their sets, which only now are fetched."""
     sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("s_a")), "a")
     both = both.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("s_b")), "b")
@@ -276,6 +284,11 @@ def verified(docs: DataFrame, pairs: DataFrame, fine: DataFrame) -> DataFrame:
     return both.select("a", "b", (100 * F.col("common") >= THRESHOLD * (F.col("total") - F.col("common"))).alias("linked"))
 
 
+def within_bounds(pairs: DataFrame, points: DataFrame, fine: DataFrame) -> DataFrame:
+    """The pairs that both points let through, stored."""
+    return stored(bounded(bounded(pairs, points), fine, FINE_GROUPS), "pairs")
+
+
 def ordered(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -309,10 +322,19 @@ def _apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(many.select("key"), "key", "left_semi")
 
 
-def tree_pairs(rows: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs of block rows (key, cls, root) in different components that the R-tree of the block lets through.
+def distinct_blocks(rows: DataFrame) -> DataFrame:
+    """The rows of one block of each content: blocks that hold the same classes give the same pairs."""
+    content = rows.groupBy("key").agg(F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64(F.lit(1), "cls").cast("decimal(38,0)")).alias("h2"),
+                                      F.count(F.lit(1)).alias("m"))
+    return rows.join(content.groupBy("h", "h2", "m").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
 
-    Blocks of more than TILE_ROWS rows are dealt into tiles, and every two tiles of a block meet once.
+
+def tree_pairs(rows: DataFrame, points: DataFrame, allowance: int) -> DataFrame:
+    """Pairs (a, b, more) of block rows (key, cls, root) in different components that the R-tree of the block lets through.
+
+    Blocks of more than TILE_ROWS rows are dealt into tiles, and every two tiles of a block meet once. A row gives at
+    most ``allowance`` pairs of a tile; ``more`` tells that it had others, which a later call with a larger allowance
+    gives unless they have come into one component by then.
     """
     sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("tiles"))
     rows = rows.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
@@ -320,7 +342,7 @@ def tree_pairs(rows: DataFrame, points: DataFrame) -> DataFrame:
     rows = rows.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "cls", "root")
     rows = rows.join(points, "cls").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def compare(cls, root, tile, n, points, i, j) -> Iterator[np.ndarray]:
+    def compare(cls, root, tile, n, points, i, j) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         one, two = (np.flatnonzero(tile == x) for x in (i, j))
         coarse = folded(points, TREE_GROUPS)
         tree = CountTree(coarse[two], n[two])
@@ -329,18 +351,31 @@ def tree_pairs(rows: DataFrame, points: DataFrame) -> DataFrame:
             y = y[(root[y] != root[x]) & ((cls[y] > cls[x]) | (i != j))]
             y = y[may_link(most_common(points[y], points[x]), n[x], n[y])]
             if len(y):
-                yield np.stack([np.minimum(cls[y], cls[x]), np.maximum(cls[y], cls[x])])
+                some = y[:allowance]
+                yield np.minimum(cls[some], cls[x]), np.maximum(cls[some], cls[x]), len(y) > allowance
+
+    def pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, i, j, tile, cls, root, n = (t[c].to_numpy() for c in ("key", "i", "j", "tile", "cls", "root", "n"))
+        pts = points_of(t["point"], FINE_GROUPS)
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        waiting, size = [], 0
+
+        def batch():
+            lo, hi, more = (np.concatenate([w[k] for w in waiting]) for k in range(3))
+            _, at = np.unique(np.stack([lo, hi]), axis=1, return_index=True)
+            return pa.RecordBatch.from_pydict({"a": lo[at], "b": hi[at], "more": more[at]})
+
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+            for lo, hi, more in compare(cls[a:b], root[a:b], tile[a:b], n[a:b], pts[a:b], i[a], j[a]):
+                waiting.append((lo, hi, np.full(len(lo), more)))
+                size += len(lo)
+                if size >= PAIRS_PER_BATCH:
+                    yield batch()
+                    waiting, size = [], 0
+        if waiting:
+            yield batch()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(t: pa.Table) -> pa.RecordBatch:
-            key, i, j, tile, cls, root, n = (t[c].to_numpy() for c in ("key", "i", "j", "tile", "cls", "root", "n"))
-            pts = points_of(t["point"], GROUPS)
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            found = [np.empty((2, 0), np.int64)]
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
-                found.extend(compare(cls[a:b], root[a:b], tile[a:b], n[a:b], pts[a:b], i[a], j[a]))
-            return pa.RecordBatch.from_arrays(list(np.unique(np.concatenate(found, axis=1), axis=1)), ["a", "b"])
-
         waiting: list[pa.RecordBatch] = []
         for batch in batches:
             if batch.num_rows:
@@ -349,21 +384,16 @@ def tree_pairs(rows: DataFrame, points: DataFrame) -> DataFrame:
                 key, i, j = (t[c].to_numpy() for c in ("key", "i", "j"))
                 last = int(np.flatnonzero((key == key[-1]) & (i == i[-1]) & (j == j[-1]))[0])
                 if last:  # the last group may go on in the next batch
-                    yield emit(t.slice(0, last))
+                    yield from pairs_of(t.slice(0, last))
                 waiting = t.slice(last).combine_chunks().to_batches()
         if waiting:
-            yield emit(pa.Table.from_batches(waiting))
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+            yield from pairs_of(pa.Table.from_batches(waiting))
 
+    return rows.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row: the smallest doc_id reachable by links, itself included.
 
-    A null or empty text, or one without words, has no shingles and is linked with nothing: its component is its own
-    id. A null doc_id never is the smallest; it is a component's id only if there is no other. Repeated rows share
-    their component. An empty table gives no rows. Columns besides doc_id and text play no part.
-    """
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and the root of every class that is linked with another."""
     signed = stored(signatures(docs), "signatures")
     classes = signed.filter("point is not null").groupBy("cls").agg(F.any_value("n").alias("n"), F.any_value("point").alias("point"), F.any_value("fine").alias("fine"))
     rows = stored(blocks(signed), "blocks")
@@ -373,10 +403,10 @@ def join(docs: DataFrame) -> DataFrame:
     points = points.drop("fine")
     like_sizes = f"cls <> pivot and 100 * least(n, pivot_n) >= {THRESHOLD} * greatest(n, pivot_n)"
     pairs = rows.filter(like_sizes).select(*ordered("cls", "pivot")).distinct()
-    rows = rows.select("key", "cls", "pivot")
-    done = stored(verified(docs, bounded(pairs, points), fine), "verified")
+    done = stored(verified(docs, within_bounds(pairs, points, fine)), "verified")
     roots = components(done.filter("linked"))
-    apart = stored(_apart(rows, roots), "apart")
+    apart = stored(distinct_blocks(_apart(rows.select("key", "cls", "pivot"), roots)), "apart")
+    rows = apart.select("key", "cls", "pivot")
     for turn in range(MAX_PIVOT_ROUNDS):
         per_root = apart.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
         per_key = per_root.groupBy("key").agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("within"))
@@ -388,12 +418,31 @@ def join(docs: DataFrame) -> DataFrame:
         pivots = apart.groupBy("key").agg(pick.alias("other"), F.min_by("root", F.xxhash64("cls", F.lit(turn))).alias("other_root"))
         more = apart.join(pivots, "key").filter("root <> other_root").select(*ordered("cls", "other")).distinct()
         more = more.join(done, ["a", "b"], "left_anti")
-        done = stored(done.unionByName(verified(docs, bounded(more, points), fine)), "verified")
+        done = stored(done.unionByName(verified(docs, within_bounds(more, points, fine))), "verified")
         roots = components(done.filter("linked"))
         apart = stored(_apart(rows, roots), "apart")
-    more = tree_pairs(apart.select("key", "cls", "root"), points).join(done, ["a", "b"], "left_anti")
-    last = stored(verified(docs, more, fine).filter("linked"), "links")
-    roots = components(done.filter("linked").unionByName(last))
+    allowance = FIRST_ALLOWANCE
+    while True:
+        found = stored(tree_pairs(apart.select("key", "cls", "root"), fine, allowance), "found")
+        unfinished = found.filter("more").limit(1).count() > 0
+        more = stored(found.select("a", "b").join(done, ["a", "b"], "left_anti"), "pairs")
+        done = stored(done.unionByName(verified(docs, more)), "verified")
+        roots = components(done.filter("linked"))
+        if not unfinished:
+            break
+        allowance *= ALLOWANCE_STEP
+        apart = stored(_apart(rows, roots), "apart")
+    return signed, roots
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row: the smallest doc_id reachable by links, itself included.
+
+    A null or empty text, or one without words, has no shingles and is linked with nothing: its component is its own
+    id. A null doc_id never is the smallest; it is a component's id only if there is no other. Repeated rows share
+    their component. An empty table gives no rows. Columns besides doc_id and text play no part.
+    """
+    signed, roots = linked(docs)
     ids = signed.groupBy("cls").agg(F.min("doc_id").alias("id")).filter("cls is not null")
     in_component = ids.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = in_component.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -403,15 +452,25 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the least doc_id; documents without shingles stay. Columns as they are.
+    """One document of each component; documents without shingles stay. Columns as they are.
 
-    Of repeated rows with that id and shingles one stays; a component without any id keeps one of its rows.
+    The texts decide what is one component, so rows with null or equal ids but unlinked texts all stay. Of a component
+    the row with the least id stays (null last), of equal ids the one whose text has the least hash, and of rows equal
+    in id and text one. An empty table gives no rows; extra columns may have any names.
     """
-    linked = join(docs.select("doc_id", "text")).filter("n_shingles > 0").select("doc_id", "component_id").distinct()
-    kept = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"))
+    one, two, copies = fresh("one", "two", "copies")
+    signed, roots = linked(docs)
+    rows = signed.filter("cls is not null").groupBy("cls", "doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("copies"))
+    rows = rows.join(roots, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2", "copies")).alias("r"))
+    kept = rows.select(F.col("r.doc_id").alias("id"), F.col("r.h1").alias(one), F.col("r.h2").alias(two), F.col("r.copies").alias(copies))
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rest = docs.filter(~has_words)
-    found = docs.filter(has_words).join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    found = found.withColumn("__row", F.row_number().over(first)).filter("__row = 1").drop("__row")
-    return found.unionByName(rest)
+    h1, h2 = text_hashes()
+    same = docs["doc_id"].eqNullSafe(kept["id"]) & (h1 == kept[one]) & (h2 == kept[two])
+    found = docs.filter(has_words).join(kept, same)
+    columns = [docs[c] for c in docs.columns]
+    single = found.filter(F.col(copies) == 1).select(*columns)
+    # Rows equal in id and text: combined before they are shuffled.
+    row = F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(copies)
+    repeated = found.filter(F.col(copies) > 1).groupBy("id", one, two).agg(row).select(*[F.col(copies)[c].alias(c) for c in docs.columns])
+    return single.unionByName(repeated).unionByName(docs.filter(~has_words))
