@@ -37,7 +37,7 @@ def main():
 
     raw = catalog.raw_folder(spark, SF)
     w = Warehouse(spark, f"{root}/warehouse", catalog.RULES)
-    storage.replace_partitions(derived.search_perf(spark, SF), w.path("search_perf"))
+    w.load_search(derived.search_perf(spark, SF))
     dates = w.changed_dates(raw)
     timed("ingest_parse", lambda: w.load_parsed(storage.read_raw(spark, raw)))
     timed("ingest_parse_again", lambda: w.load_parsed(storage.read_raw(spark, raw)))

@@ -89,9 +89,12 @@ def frequent_agents(requests: DataFrame, rules: SiteRules, n: int = MAX_CACHED_A
 def classify_bot(df: DataFrame, rules: SiteRules, cache: DataFrame | None = None) -> DataFrame:
     """Add ``is_bot``, ``bot_family`` and ``bot_category`` (both NULL for humans).
 
-    The referer rules are tried only for requests that look human and have a referer.
+    The referer rules are tried only for requests that look human and have a referer. Rule positions that are
+    already known (``_agent_rule``, ``_referer_rule``; -1 for none) are taken instead of matching.
     """
     by_agent = first_rule("_agent", rules.bots)
+    if "_agent_rule" in df.columns:
+        by_agent = F.nullif(F.col("_agent_rule"), F.lit(-1))
     if cache is not None:
         df = df.join(F.broadcast(cache.limit(MAX_CACHED_AGENTS)), "user_agent", "left")
         cached = F.col("_cached_rule")
@@ -106,12 +109,13 @@ def classify_bot(df: DataFrame, rules: SiteRules, cache: DataFrame | None = None
         return (f"CASE WHEN {bot_by_agent} THEN get(array({agent}), _rule)"
                 f" ELSE {f'get(array({referer}), _by_referer)' if referer else 'CAST(NULL AS STRING)'} END")
 
+    by_referer = F.nullif(F.col("_referer_rule"), F.lit(-1)) if "_referer_rule" in df.columns else first_rule("_referer", rules.referer_bots)
     return (
-        df.withColumn("_by_referer", F.when(F.expr(f"NOT {bot_by_agent}"), first_rule("_referer", rules.referer_bots)))
+        df.withColumn("_by_referer", F.when(F.expr(f"NOT {bot_by_agent}"), by_referer))
         .withColumns({
             "is_bot": F.expr(f"{bot_by_agent} OR _by_referer IS NOT NULL"),
             "bot_family": F.expr(label("family")),
             "bot_category": F.expr(label("category")),
         })
-        .drop("_rule", "_by_referer", "_agent", "_referer", "_cached_rule")
+        .drop("_rule", "_by_referer", "_agent", "_referer", "_cached_rule", "_agent_rule", "_referer_rule")
     )

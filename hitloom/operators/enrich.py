@@ -62,24 +62,32 @@ def parse_lines(raw: DataFrame) -> DataFrame:
     )
 
 
-def enrich(requests: DataFrame, rules: SiteRules, agent_cache: DataFrame | None = None) -> DataFrame:
-    """All columns of the parsed table from the request fields."""
+def enrich(requests: DataFrame, rules: SiteRules, dictionaries=None) -> DataFrame:
+    """All columns of the parsed table from the request fields.
+
+    With ``dictionaries`` (``plans.dictionaries.Dictionaries``) labels of known values are looked up.
+    """
     df = requests.withColumns({
         "status_code": F.col("status"),
         "status_class": lines.status_class(F.col("status")),
         "is_parameterized": F.col("has_query"),
     })
-    df = agents.classify_bot(df, rules, agent_cache)
-    df = urls.classify_path(df, rules)
+    if dictionaries is not None:
+        for kind in ("agents", "referers", "paths", "queries"):
+            df = dictionaries.labelled(df, kind)
+        df = agents.classify_bot(df, rules)
+    else:
+        df = agents.classify_bot(df, rules)
+        df = urls.classify_path(df, rules)
+        df = utm.parse_utm(df)
+        df = referers.classify_referer(df, rules.site_domain)
     df = df.withColumn("is_resource", F.col("url_group").isin(*ASSET_GROUPS))
-    df = utm.parse_utm(df)
-    df = referers.classify_referer(df, rules.site_domain)
     return schema.conform(df, schema.PARSED)
 
 
-def parse_log(raw: DataFrame, rules: SiteRules, agent_cache: DataFrame | None = None) -> DataFrame:
+def parse_log(raw: DataFrame, rules: SiteRules) -> DataFrame:
     """Parsed table of raw ``(date, value)`` rows."""
-    return enrich(parse_lines(raw), rules, agent_cache)
+    return enrich(parse_lines(raw), rules)
 
 
 def bad_line_counts(raw: DataFrame) -> DataFrame:

@@ -2,39 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitloom import schema, session
 from hitloom.config import SiteRules
-from hitloom.functions import agents
 from hitloom.operators import aggregates, enrich, search_join
+from hitloom.plans import periods
+from hitloom.plans.dictionaries import Dictionaries
 from hitloom.sources import storage
-
+from hitloom.sources.versions import Store, Transaction
 
 SEARCH_TABLES = {"gsc_daily": search_join.gsc_daily, "gsc_bot_daily": search_join.gsc_bot_daily}
+ROLLUPS = {"traffic": aggregates.traffic_rollup, "pages": aggregates.page_rollup, "utm": aggregates.utm_rollup}
 
 
 class Warehouse:
-    """Folders of one site under a shared root."""
-
-    def __init__(self, spark: SparkSession, root: str, rules: SiteRules):
-        self.spark, self.root, self.rules = session.tune(spark), root.rstrip("/"), rules
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def parsed(self) -> DataFrame:
-        return storage.read_table(self.spark, self.path("parsed"), schema.PARSED)
-
-    def search_perf(self) -> DataFrame:
-        return storage.read_table(self.spark, self.path("search_perf"), schema.SEARCH_PERF)
+    """The tables of one site in a versioned store: what an ingest changes becomes visible at its end, all at once."""
+
+    def __init__(self, spark: SparkSession, root: str, rules: SiteRules, time_zone: str | None = None):
+        """``time_zone`` is that of the stored ``hourly`` table; UTC if not given."""
+        self.spark, self.root, self.rules, self.time_zone = session.tune(spark), root.rstrip("/"), rules, time_zone
+        self.store = Store(spark, self.root)
+        self._change: Transaction | None = None
+
+    @contextmanager
+    def change(self) -> Iterator[Transaction]:
+        """The running transaction, or a new one that is committed at the end unless something fails."""
+        if self._change is not None:
+            yield self._change
+            return
+        self._change = self.store.begin()
+        try:
+            yield self._change
+            self._change.commit()
+        finally:
+            self._change = None
+
+    # Tables -------------------------------------------------------------------------------------------
+
+    def read(self, name: str, table_schema, dates=None) -> DataFrame:
+        return (self._change or self.store).read(name, table_schema, dates)
+
+    def parsed(self, dates=None) -> DataFrame:
+        return self.read("parsed", schema.PARSED, dates)
+
+    def search_perf(self, dates=None) -> DataFrame:
+        return self.read("search_perf", schema.SEARCH_PERF, dates)
 
     def manifest(self) -> DataFrame:
-        return storage.read_table(self.spark, self.path("manifest"), schema.MANIFEST)
+        return self.read("files", schema.MANIFEST)
 
-    def table(self, name: str) -> DataFrame:
-        return storage.read_table(self.spark, self.path(f"aggregates/{name}"), self.schema_of(name))
+    def table(self, name: str, dates=None) -> DataFrame:
+        return self.read(f"aggregates/{name}", self.schema_of(name), dates)
 
     def schema_of(self, name: str):
         """Schema of an aggregate table: that of its query over no rows."""
@@ -43,10 +66,43 @@ class Warehouse:
             return SEARCH_TABLES[name](none, self.spark.createDataFrame([], schema.SEARCH_PERF)).schema
         return aggregates.TABLES[name](none).schema
 
+    # Coverage: from the commit alone, no file of a table is listed or opened ---------------------------
+
+    def dates(self, name: str = "parsed") -> list[str]:
+        """The dates of a table: ``parsed``, ``search_perf``, ``files`` or an aggregate."""
+        name = f"aggregates/{name}" if name in SEARCH_TABLES or name in aggregates.TABLES else name
+        return (self._change.now if self._change else self.store.snapshot()).dates(name)
+
+    def bounds(self, name: str = "parsed") -> tuple[str | None, str | None]:
+        found = self.dates(name)
+        return (found[0], found[-1]) if found else (None, None)
+
+    def latest_ingested(self) -> str | None:
+        """The latest date of which raw files were taken in."""
+        return self.bounds("files")[1]
+
+    def missing_search_dates(self) -> list[str]:
+        """Dates that have requests and search data but lack one of the two search tables."""
+        ready = set(self.dates("parsed")) & set(self.dates("search_perf"))
+        return sorted(d for d in ready if any(d not in self.dates(n) for n in SEARCH_TABLES))
+
+    def default_range(self, date_from: str | None = None, date_to: str | None = None) -> tuple[str | None, str | None]:
+        """The given range, or the last 7 days with requests."""
+        return periods.default_last_7(date_from, date_to, *self.bounds())
+
+    def last_days(self, n: int) -> tuple[str | None, str | None]:
+        last = self.bounds()[1]
+        return periods.last_n(n, last) if last else (None, None)
+
+    def comparison(self, date_from: str | None = None, date_to: str | None = None) -> tuple[str | None, ...]:
+        """The current range and the one of the same length before it."""
+        last = self.bounds()[1]
+        return periods.compare(date_from, date_to, last) if last or (date_from and date_to) else (None,) * 4
+
     # Ingest -------------------------------------------------------------------------------------------
 
     def changed_dates(self, raw: str) -> list[str]:
-        """Dates with new or changed raw files: what a dry run reports."""
+        """Dates with new, changed or emptied raw files: what a dry run reports."""
         files = storage.list_raw(self.spark, raw)
         return [r.log_date for r in storage.affected_dates(files, self.manifest()).orderBy("log_date").collect()]
 
@@ -55,34 +111,38 @@ class Warehouse:
         dates = self.changed_dates(raw) if dates is None else sorted(dates)
         if not dates:
             return []
-        files = storage.list_raw(self.spark, raw).where(F.col("log_date").isin(dates))
-        self.load_parsed(storage.read_raw(self.spark, raw).where(F.col("date").isin(dates)), dates)
-        self.refresh(dates)
-        self._record(files)
+        with self.change() as change:
+            files = storage.list_raw(self.spark, raw).where(F.col("log_date").isin(dates))
+            change.write("files", storage.ingested_files(files), dates)
+            self.load_parsed(storage.read_raw(self.spark, raw).where(F.col("date").isin(dates)), dates)
+            self.refresh(dates)
         return dates
 
+    def rebuild(self, raw: str | None = None, date_from: str | None = None, date_to: str | None = None) -> list[str]:
+        """Redo all dates, or those from .. to: from the raw files, or without them the aggregates only."""
+        if raw is None:
+            dates = [d for d in self.dates("parsed") if (date_from or d) <= d <= (date_to or d)]
+            self.refresh(dates)
+            return dates
+        found = storage.list_raw(self.spark, raw).select("log_date").distinct().collect()  # one row per day
+        dates = sorted({r.log_date for r in found if (date_from or r.log_date) <= r.log_date <= (date_to or r.log_date)})
+        return self.ingest(raw, dates)
+
     def load_parsed(self, raw_lines: DataFrame, dates=()) -> None:
-        """Parse and write lines, replacing their dates and the listed ones: one narrow stage, no shuffle.
+        """Parse, label and write lines, replacing their dates and the listed ones.
 
-        User agents that were frequent on the latest date already loaded are looked up instead of matched.
+        The fields of the lines are written first. Their distinct values extend the dictionaries, and a line then
+        looks its labels up; no line is shuffled but by a dictionary too large to broadcast.
         """
-        known = self.parsed()
-        latest = known.agg(F.max("date").alias("d")).first().d
-        cache = None
-        if latest:
-            # Written, so that the frequent agents are counted once and survive lost executors.
-            cache_path = self.path("_work/frequent_agents")
-            frequent = agents.frequent_agents(known.where(F.col("date") == latest), self.rules)
-            frequent.write.mode("overwrite").parquet(cache_path)
-            cache = self.spark.read.parquet(cache_path)
-        parsed = enrich.parse_log(raw_lines.select("date", "value"), self.rules, cache)
-        storage.replace_partitions(parsed, self.path("parsed"), dates)
-
-    def _record(self, files: DataFrame) -> None:
-        # The new manifest is written beside the old one first: Spark cannot overwrite what it reads.
-        staged = self.path("_work/manifest")
-        storage.updated_manifest(self.manifest(), files).write.mode("overwrite").parquet(staged)
-        self.spark.read.schema(schema.MANIFEST).parquet(staged).write.mode("overwrite").parquet(self.path("manifest"))
+        with self.change() as change:
+            fields_table = "_work/fields"
+            fields = enrich.parse_lines(raw_lines.select("date", "value"))
+            found = change.write(fields_table, fields)
+            requests = change.read(fields_table, fields.schema, found)
+            labels = Dictionaries(change, self.rules)
+            labels.extend(requests)
+            change.write("parsed", enrich.enrich(requests, self.rules, labels), dates)
+            change.forget(fields_table)
 
     # Aggregates ---------------------------------------------------------------------------------------
 
@@ -92,40 +152,52 @@ class Warehouse:
         The requests are read four times in all: once per rollup and once for the referer flow. The rollups
         are written tables, so the aggregates read far fewer rows and a lost executor costs little.
         """
-        parsed = self.parsed().where(F.col("date").isin(dates))
-        rollups = {}
-        for name, build in (("traffic", aggregates.traffic_rollup), ("pages", aggregates.page_rollup),
-                            ("utm", aggregates.utm_rollup)):
-            rows, path = build(parsed), self.path(f"_work/{name}")
-            storage.replace_partitions(storage.by_date(rows), path, dates)
-            rollups[name] = storage.read_table(self.spark, path, rows.schema).where(F.col("date").isin(dates))
-        source = {**dict.fromkeys(aggregates.FROM_TRAFFIC, "traffic"), **dict.fromkeys(aggregates.FROM_PAGES, "pages"),
-                  **dict.fromkeys(aggregates.FROM_UTM, "utm")}
-        for name, build in aggregates.TABLES.items():
-            rows = build(rollups[source[name]] if name in source else parsed)
-            storage.replace_partitions(storage.by_date(rows), self.path(f"aggregates/{name}"), dates)
-        self.refresh_search(dates, rollups["pages"])
+        with self.change() as change:
+            parsed, rollups = self.parsed(dates), {}
+            for name, build in ROLLUPS.items():
+                rows, table = build(parsed), f"_work/{name}"
+                found = change.write(table, storage.by_date(rows))
+                rollups[name] = change.read(table, rows.schema, found)
+            source = {**dict.fromkeys(aggregates.FROM_TRAFFIC, "traffic"), **dict.fromkeys(aggregates.FROM_PAGES, "pages"),
+                      **dict.fromkeys(aggregates.FROM_UTM, "utm")}
+            for name, build in aggregates.TABLES.items():
+                if name == "hourly" and self.time_zone:
+                    rows = aggregates.hourly(parsed, time_zone=self.time_zone)
+                else:
+                    rows = build(rollups[source[name]] if name in source else parsed)
+                change.write(f"aggregates/{name}", storage.by_date(rows), dates)
+            self.refresh_search(dates, rollups["pages"])
+            for name in ROLLUPS:
+                change.forget(f"_work/{name}")
+
+    def load_search(self, perf: DataFrame, dates=()) -> list[str]:
+        """Replace search data of its dates (and the listed ones) and rebuild their search tables. Returns the dates."""
+        with self.change() as change:
+            found = change.write("search_perf", schema.conform(perf, schema.SEARCH_PERF), dates)
+            affected = sorted({*found, *dates})
+            if crawled := [d for d in affected if d in self.dates("parsed")]:
+                self.refresh_search(crawled)
+        return affected
 
     def refresh_search(self, dates: list[str], pages: DataFrame | None = None) -> None:
         """Rebuild the two search tables of some dates; dates without search data are skipped."""
-        perf = self.search_perf().where(F.col("date").isin(dates))
-        crawls = pages if pages is not None else self.parsed().where(F.col("date").isin(dates))
-        for name, build in SEARCH_TABLES.items():
-            storage.replace_partitions(storage.by_date(build(crawls, perf)), self.path(f"aggregates/{name}"), dates)
+        with self.change() as change:
+            perf = self.search_perf(dates)
+            crawls = pages if pages is not None else self.parsed(dates)
+            for name, build in SEARCH_TABLES.items():
+                change.write(f"aggregates/{name}", storage.by_date(build(crawls, perf)), dates)
 
     def backfill_search(self) -> list[str]:
         """Build the search tables of dates that have requests and search data but lack either table."""
-        from hitloom.operators.tables import missing_dates
-
-        outputs = [self.table(n) for n in SEARCH_TABLES]
-        dates = [r.date for r in missing_dates([self.parsed(), self.search_perf()], outputs).collect()]
+        dates = self.missing_search_dates()
         if dates:
             self.refresh_search(dates)
         return dates
 
-    def fix_country_type(self) -> None:
-        """Rewrite partitions whose country is not text; may be repeated."""
-        raw = self.spark.read.option("mergeSchema", "false").parquet(self.path("parsed"))
-        storage.replace_partitions(storage.fix_column_type(raw), self.path("_work/parsed_fixed"))
-        fixed = storage.read_table(self.spark, self.path("_work/parsed_fixed"), schema.PARSED)
-        storage.replace_partitions(fixed, self.path("parsed"))
+    def fix_country_type(self) -> list[str]:
+        """Rewrite the dates that have files whose country is not text; returns them. A second call writes nothing."""
+        change = self.store.begin()
+        dates = storage.repair_column(change, "parsed", schema.PARSED, "country")
+        if dates:
+            change.commit()
+        return dates

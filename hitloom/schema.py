@@ -27,7 +27,7 @@ SEARCH_PERF = _struct(
 )
 
 MANIFEST = _struct(
-    ("path", _STR), ("size_bytes", _LONG), ("mtime_epoch", _LONG), ("log_date", _STR), ("ingested_at_epoch", _LONG),
+    ("date", _STR), ("path", _STR), ("size_bytes", _LONG), ("mtime_epoch", _LONG), ("log_date", _STR), ("ingested_at_epoch", _LONG),
 )
 
 

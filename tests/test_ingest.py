@@ -8,7 +8,7 @@ from hitloom.config import SiteRules
 from hitloom.operators import aggregates, search_join
 from hitloom.plans import catalog
 from hitloom.plans.refresh import Warehouse
-from hitloom.sources import derived, storage
+from hitloom.sources import derived
 from hitloom.streaming.tail import load_new_files
 
 SF = "/root/testdata/sf0.001"
@@ -68,7 +68,7 @@ def rows(df):
 def test_rollups_give_the_same_tables(spark, tmp_path):
     w = Warehouse(spark, str(tmp_path / "wh"), catalog.RULES)
     w.load_parsed(catalog.raw_lines(spark, SF))
-    storage.replace_partitions(derived.search_perf(spark, SF), w.path("search_perf"))
+    w.load_search(derived.search_perf(spark, SF))
     dates = [r.date for r in w.parsed().select("date").distinct().collect()]
     w.refresh(dates)
     for name, build in aggregates.TABLES.items():
