@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitloom.functions import lines, urls
-from hitloom.operators import filters, tables
+from hitloom.operators import filters, ranks, tables
 from hitloom.operators.aggregates import waste
 from hitloom.operators.filters import FilterSpec
 
+# Columns that requests can be grouped, stacked and sorted by, and those shown and exported.
 GROUP_COLUMNS = (
     "path", "path_segment_1", "path_segment_2", "path_depth", "url_group", "bot_family", "bot_category", "status",
     "status_class", "locale", "country", "referer_type", "referer_path", "utm_source_norm", "method", "is_bot",
@@ -30,6 +31,8 @@ EXPORT_COLUMNS = (
 ROW_KEY = ("ts_utc", "path", "edge_ip")
 # Breaks ties between requests of the same second, so that pages do not overlap.
 TIE_BREAK = (*ROW_KEY, "method", "status", "bytes_sent", "user_agent", "request_target", "referer")
+# Largest page that ``rows`` gives; exports give all rows.
+MAX_PER_PAGE = 1_000
 STACK_LIMIT = 8
 OTHER = "Other"
 BUCKETS = 60
@@ -72,23 +75,30 @@ def _ties(df: DataFrame) -> list[str]:
     return tables.known_columns(df, TIE_BREAK)
 
 
-def rows(parsed: DataFrame, spec: QuerySpec) -> DataFrame:
-    """One page of requests; the key columns are always included."""
+def _order(df: DataFrame, sort: str, ascending: bool) -> ranks.Order:
+    return [(sort, ascending), *[(c, True) for c in _ties(df) if c != sort]]
+
+
+def rows(parsed: DataFrame, spec: QuerySpec, shallow_rows: int = ranks.SHALLOW_ROWS) -> DataFrame:
+    """One page of requests; the key columns are always included. Deep pages are found by counting, not by sorting."""
+    if spec.page < 1 or not 1 <= spec.per_page <= MAX_PER_PAGE:
+        raise ValueError(f"page must be 1 or more and per_page 1 to {MAX_PER_PAGE}")
     sort = spec.sort if spec.sort in parsed.columns else "ts_utc"
-    direction = F.asc if spec.order.lower() == "asc" else F.desc
     columns = tables.known_columns(parsed, (*ROW_KEY, *spec.columns))
-    per_page = min(max(spec.per_page, 25), 200)
-    ordered = selected(parsed, spec).orderBy(direction(sort), *[c for c in _ties(parsed) if c != sort])
-    return ordered.select(*columns).offset((max(spec.page, 1) - 1) * per_page).limit(per_page)
+    df = selected(parsed, spec)
+    order = _order(df, sort, spec.order.lower() == "asc")
+    return ranks.page(df, order, (spec.page - 1) * spec.per_page, spec.per_page, shallow_rows).select(*columns)
 
 
 def rows_count(parsed: DataFrame, spec: QuerySpec) -> DataFrame:
     return selected(parsed, spec).agg(F.count("*").alias("total"))
 
 
-def rows_nth(parsed: DataFrame, n: int) -> DataFrame:
+def rows_nth(parsed: DataFrame, n: int, shallow_rows: int = ranks.SHALLOW_ROWS) -> DataFrame:
     """The ``n``-th request (from 0) in time order."""
-    return parsed.orderBy(*_ties(parsed)).offset(max(n, 0)).limit(1)
+    if n < 0:
+        raise ValueError("n must not be negative")
+    return ranks.page(parsed, [(c, True) for c in _ties(parsed)], n, 1, shallow_rows)
 
 
 def rows_export(parsed: DataFrame, spec: QuerySpec) -> DataFrame:
@@ -222,26 +232,34 @@ HISTOGRAM_METRICS = {
 }
 
 
+def per_instant(parsed: DataFrame, spec: QuerySpec, metric: str = "requests") -> DataFrame:
+    """A metric by time in milliseconds (log times are whole seconds): sums of it give any range and any buckets."""
+    values = HISTOGRAM_METRICS.get(metric, HISTOGRAM_METRICS["requests"])()
+    return selected(parsed, spec).groupBy(lines.epoch_millis(F.col("ts_utc")).alias("ms")).agg(*values)
+
+
 def histogram(parsed: DataFrame, spec: QuerySpec, metric: str = "requests") -> DataFrame:
     """A metric in 60 equal time buckets over the filtered range, or over the brushed range when one is set.
 
-    The range is a scalar subquery over the same filter; empty buckets count 0 and the last instant belongs to
-    the last bucket.
+    The requests are read once: their sums per instant are kept in the shared work folder, and range and buckets come
+    from those. Empty buckets count 0 and the last instant belongs to the last bucket.
     """
-    spec_filters = spec.filters
-    df = selected(parsed, spec)
-    ms = lines.epoch_millis(F.col("ts_utc"))
-    if spec_filters.time_brush is not None:
-        t0, t1 = (F.lit(t).cast("long") for t in sorted(spec_filters.time_brush))
+    instants = per_instant(parsed, spec, metric)
+    if spec.filters.time_brush is not None:
+        t0, t1 = sorted(int(t) for t in spec.filters.time_brush)
     else:
-        span = tables.epoch_range(df)
-        t0, t1 = span.select("t0").scalar(), span.select("t1").scalar()
-    width = F.greatest(F.when(t1 > t0, t1 - t0).otherwise(F.lit(60_000)).cast("double") / BUCKETS, F.lit(1.0))
-    bucket = F.least(F.floor((ms - t0).cast("double") / width), F.lit(BUCKETS - 1)).cast("long")
-    values = HISTOGRAM_METRICS.get(metric, HISTOGRAM_METRICS["requests"])()
-    counted = df.groupBy(bucket.alias("bucket")).agg(*values).where(F.col("bucket").between(0, BUCKETS - 1))
-    names = [c for c in counted.columns if c != "bucket"]
-    every = parsed.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"))
+        instants = tables.kept(instants, "instants")
+        t0, t1 = instants.agg(F.min("ms"), F.max("ms")).first()
+    return buckets(instants, t0, t1, metric)
+
+
+def buckets(instants: DataFrame, t0: int | None, t1: int | None, metric: str) -> DataFrame:
+    """The sums of a metric per instant, added up in 60 buckets from ``t0`` to ``t1``."""
+    width = max((t1 - t0 if t0 is not None and t1 > t0 else 60_000) / BUCKETS, 1.0)
+    bucket = F.least(F.floor((F.col("ms") - F.lit(t0).cast("long")).cast("double") / F.lit(width)), F.lit(BUCKETS - 1)).cast("long")
+    names = [c for c in instants.columns if c != "ms"]
+    counted = instants.groupBy(bucket.alias("bucket")).agg(*[F.sum(c).alias(c) for c in names]).where(F.col("bucket").between(0, BUCKETS - 1))
+    every = instants.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"))
     out = every.join(counted, "bucket", "left").na.fill(0, names)
     if metric == "errors":
         pct = F.coalesce(F.try_divide(F.col("err") * F.lit(100.0), F.col("tot").cast("double")), F.lit(0.0))
@@ -249,10 +267,10 @@ def histogram(parsed: DataFrame, spec: QuerySpec, metric: str = "requests") -> D
     return out.orderBy("bucket")
 
 
-def histogram_totals(buckets: DataFrame) -> DataFrame:
+def histogram_totals(counted: DataFrame) -> DataFrame:
     """Totals of the shown series; the error rate is weighted by requests."""
-    series = [c for c in buckets.columns if c not in ("bucket", "error_pct")]
-    out = buckets.agg(*[F.sum(c).alias(c) for c in series])
+    series = [c for c in counted.columns if c not in ("bucket", "error_pct")]
+    out = counted.agg(*[F.sum(c).alias(c) for c in series])
     if "err" in series:
         pct = F.coalesce(F.try_divide(F.col("err") * F.lit(100.0), F.col("tot").cast("double")), F.lit(0.0))
         out = out.withColumn("error_pct", pct)

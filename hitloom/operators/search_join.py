@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from hitloom.defaults import UNKNOWN_BOT
 from hitloom.functions import urls
+from hitloom.operators import skew
 from hitloom.operators.aggregates import FAILED, facts, named, total
 
 # Fixed values, best first.
@@ -85,7 +86,8 @@ def gsc_bot_daily(parsed: DataFrame, perf: DataFrame, dedupe_pages: bool = False
         .join(search_dates(perf), "date", "left_semi")
     )
     zero = F.lit(0).cast("long")
-    return crawls.join(pages.drop("page"), KEYS, "left").select(
+    # A page may have very many variants in the search data, few bots crawl it: the side that a left join cannot split.
+    return skew.left_join(crawls, pages.drop("page"), KEYS).select(
         "date", "bot_family", F.col("norm_path").alias("page"),
         "crawl_hits", "ok_hits", "redirect_hits", "err_hits", "param_hits", "resource_hits",
         F.coalesce("clicks", zero).alias("clicks"),

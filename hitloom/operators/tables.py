@@ -1,9 +1,19 @@
 """Date-partitioned tables: scans, coverage, distinct values."""
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitloom.functions import lines
+from hitloom.session import work_dir
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared work folder and read back, so that what follows does not compute them again."""
+    path = f"{work_dir(df.sparkSession)}/hitloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def between_dates(df: DataFrame, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
@@ -58,8 +68,13 @@ SUGGEST_FIELDS = ("status", "method", "bot_family", "bot_category", "url_group",
 SUGGEST_ALIASES = {"utm": "utm_source_norm", "utm_source": "utm_source_norm"}
 
 
+MAX_SUGGESTIONS = 50
+
+
 def suggest_values(parsed: DataFrame, field: str, text: str = "", limit: int = 10) -> DataFrame:
-    """Values of a field that contain a text, in order; the limit lies between 1 and 50."""
+    """Values of a field that contain a text, in order; the limit is 1 to ``MAX_SUGGESTIONS``."""
+    if not 1 <= limit <= MAX_SUGGESTIONS:
+        raise ValueError(f"limit must be 1 to {MAX_SUGGESTIONS}")
     column = SUGGEST_ALIASES.get(field, field)
     if column not in SUGGEST_FIELDS or column not in parsed.columns:
         return parsed.select(F.lit(None).cast("string").alias("value")).where(F.lit(False))
@@ -67,7 +82,7 @@ def suggest_values(parsed: DataFrame, field: str, text: str = "", limit: int = 1
     needle = (text or "").strip().lower()
     if needle:
         values = values.where(F.contains(F.lower("value"), F.lit(needle)))
-    return values.orderBy("value").limit(min(max(limit, 1), 50))
+    return values.orderBy("value").limit(limit)
 
 
 def detail(parsed: DataFrame, date: str, ts: str, path: str | None = None, ip: str | None = None) -> DataFrame:
