@@ -40,10 +40,10 @@ CELL_BITS = 20
 #: Rows of a block that one tree holds; larger blocks are compared tile by tile.
 TILE_ROWS = 4096
 LEAF = 16
-#: While the blocks would give more pairs than this many per row, further pivots are tried first.
-PAIRS_PER_ROW, MAX_PIVOT_ROUNDS = 20, 8
+#: While the trees would compare more rows with each row than this, further pivots are tried first, as long as they link anything.
+PAIRS_PER_ROW, MAX_PIVOT_ROUNDS = 1_000, 8
 #: Pairs that a row of a tile gives at first, and how that grows while any row had more; a tile's rows end the growth.
-FIRST_ALLOWANCE, ALLOWANCE_STEP = 16, 16
+FIRST_ALLOWANCE, ALLOWANCE_STEP = 64, 64
 PAIRS_PER_BATCH = 100_000
 #: Bits of the table that tells most classes without partner apart before their sets are written.
 BITMAP_BITS = 24
@@ -418,7 +418,10 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pivots = apart.groupBy("key").agg(pick.alias("other"), F.min_by("root", F.xxhash64("cls", F.lit(turn))).alias("other_root"))
         more = apart.join(pivots, "key").filter("root <> other_root").select(*ordered("cls", "other")).distinct()
         more = more.join(done, ["a", "b"], "left_anti")
-        done = stored(done.unionByName(verified(docs, within_bounds(more, points, fine))), "verified")
+        found = stored(verified(docs, within_bounds(more, points, fine)), "verified")
+        done = done.unionByName(found)
+        if found.filter("linked").limit(1).count() == 0:
+            break
         roots = components(done.filter("linked"))
         apart = stored(_apart(rows, roots), "apart")
     allowance = FIRST_ALLOWANCE
@@ -426,7 +429,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = stored(tree_pairs(apart.select("key", "cls", "root"), fine, allowance), "found")
         unfinished = found.filter("more").limit(1).count() > 0
         more = stored(found.select("a", "b").join(done, ["a", "b"], "left_anti"), "pairs")
-        done = stored(done.unionByName(verified(docs, more)), "verified")
+        done = done.unionByName(stored(verified(docs, more), "verified"))
         roots = components(done.filter("linked"))
         if not unfinished:
             break
