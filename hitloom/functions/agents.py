@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hitloom.config import BotRule, SiteRules
 from hitloom.defaults import HUMAN_FAMILY
+from hitloom.functions.expressions import alternatives
 from hitloom.functions.text import case_insensitive, once, quote, quoted
 
 _PLAIN = re.compile(r"(?:[a-z0-9 _/-]|\\\.)+", re.IGNORECASE)
@@ -14,38 +15,7 @@ _WHOLE = re.compile(r"\^([a-z0-9 _/-]+)\$", re.IGNORECASE)
 
 # Upper bound of the broadcast table of frequent user agents.
 MAX_CACHED_AGENTS = 20_000
-
-
-def alternatives(pattern: str) -> list[tuple[str, str]]:
-    """Top-level alternatives of a pattern, each with the longest text that every match of it contains."""
-    out, start, depth, i = [], 0, 0, 0
-    runs, run = [], ""
-    while i < len(pattern):
-        c, step, text = pattern[i], 1, ""
-        if c == "\\":
-            step = 2
-            text = pattern[i + 1] if pattern[i + 1] in "./-" else ""
-        elif c == "[":
-            step = pattern.index("]", i + 2) - i + 1
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-        elif c == "|" and depth == 0:
-            out.append((pattern[start:i], max([*runs, run], key=len)))
-            start, runs, run, i = i + 1, [], "", i + 1
-            continue
-        elif c not in ".^$*+?{}":
-            text = c
-        optional = pattern[i + step:i + step + 1] in ("?", "*", "{")
-        if text and depth == 0 and not optional:
-            run += text
-        else:
-            runs.append(run)
-            run = ""
-            if c == "{":
-                step = pattern.index("}", i) - i + 1
-        i += step
-    out.append((pattern[start:], max([*runs, run], key=len)))
-    return out
+COUNTERS_PER_AGENT, MAX_COUNTERS = 8, 1_000_000
 
 
 def matches(lowered: str, pattern: str) -> str:
@@ -75,12 +45,15 @@ def first_rule(lowered: str, rules: tuple[BotRule, ...]) -> Column:
 
 
 def frequent_agents(requests: DataFrame, rules: SiteRules, n: int = MAX_CACHED_AGENTS) -> DataFrame:
-    """The ``n`` most frequent user agents with their rule position (-1 for none).
+    """Up to ``n`` frequent user agents with their rule position (-1 for none), from mergeable bounded counters.
 
-    Only a shortcut for ``classify_bot``: agents that are not in it are classified by the rules, so it may
-    come from an older date or a sample without changing any result. ``n`` bounds what is broadcast.
+    Each task keeps at most ``COUNTERS_PER_AGENT * n`` counters, and these merge; an agent with more than 2 of every
+    ``COUNTERS_PER_AGENT * n`` requests is surely among them. Only a shortcut for ``classify_bot``: agents that are
+    not in it are classified by the rules, so it may come from an older date without changing any result.
     """
-    top = requests.groupBy("user_agent").count().orderBy(F.desc("count"), "user_agent").limit(n)
+    counters = min(COUNTERS_PER_AGENT * n, MAX_COUNTERS)
+    top = requests.where(F.col("user_agent").isNotNull()).agg(F.expr(f"approx_top_k(user_agent, {int(n)}, {counters})").alias("top"))
+    top = top.select(F.inline("top")).select(F.col("item").alias("user_agent"))
     rule = F.coalesce(first_rule("_agent", rules.bots), F.lit(-1))
     return top.select("user_agent", F.lower("user_agent").alias("_agent")).select(
         "user_agent", rule.alias("_cached_rule"))

@@ -109,6 +109,19 @@ def rows_export(parsed: DataFrame, spec: QuerySpec) -> DataFrame:
     return df.orderBy(F.desc("ts_utc"), *[c for c in _ties(df) if c != "ts_utc"]).select(*EXPORT_COLUMNS)
 
 
+def export_csv(parsed: DataFrame, spec: QuerySpec, path: str) -> None:
+    """Write the result of a query as CSV with a header, times as text: all rows, the groups, or the time series.
+
+    Rows come in one file per sorted range; groups and series, which have a limit or one row per hour, in one file.
+    """
+    out = {"group": group, "timeseries": timeseries}.get(spec.mode, rows_export)(parsed, spec)
+    times = [f.name for f in out.schema if f.dataType.typeName().startswith("timestamp")]
+    out = out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in times})
+    if spec.mode in ("group", "timeseries"):
+        out = out.coalesce(1)
+    out.write.mode("overwrite").option("header", "true").csv(path)
+
+
 # Groups ---------------------------------------------------------------------------------------------------
 
 

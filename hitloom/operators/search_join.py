@@ -74,7 +74,7 @@ def strategic_class(impressions: Column, position: Column) -> Column:
             .otherwise(names[3]))
 
 
-def gsc_bot_daily(parsed: DataFrame, perf: DataFrame, dedupe_pages: bool = False) -> DataFrame:
+def gsc_bot_daily(parsed: DataFrame, perf: DataFrame, dedupe_pages: bool = False, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Crawled paths per bot with their search signals and the class of crawl they are."""
     pages = search_pages(perf, dedupe_pages)
     crawls = (
@@ -87,7 +87,7 @@ def gsc_bot_daily(parsed: DataFrame, perf: DataFrame, dedupe_pages: bool = False
     )
     zero = F.lit(0).cast("long")
     # A page may have very many variants in the search data, few bots crawl it: the side that a left join cannot split.
-    return skew.left_join(crawls, pages.drop("page"), KEYS).select(
+    return skew.left_join(crawls, pages.drop("page"), KEYS, hot_rows).select(
         "date", "bot_family", F.col("norm_path").alias("page"),
         "crawl_hits", "ok_hits", "redirect_hits", "err_hits", "param_hits", "resource_hits",
         F.coalesce("clicks", zero).alias("clicks"),

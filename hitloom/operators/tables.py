@@ -1,6 +1,8 @@
 """Date-partitioned tables: scans, coverage, distinct values."""
 
 import uuid
+from datetime import date as day_type
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,15 +87,28 @@ def suggest_values(parsed: DataFrame, field: str, text: str = "", limit: int = 1
     return values.orderBy("value").limit(limit)
 
 
+def time_span(prefix: str) -> tuple[datetime, datetime] | None:
+    """The first and last time that agree with the whole fields (day, hour, minute, second) a text such as
+    ``2024-01-05 10:3`` begins with; none if it has no whole day."""
+    whole = max((n for n in (10, 13, 16, 19) if n <= len(prefix)), default=0)
+    try:
+        low = datetime.fromisoformat(prefix[:whole] + "0001-01-01 00:00:00"[whole:])
+    except ValueError:
+        return None
+    length = {10: timedelta(days=1), 13: timedelta(hours=1), 16: timedelta(minutes=1), 19: timedelta(seconds=1)}
+    return (low, low + length[whole] - timedelta(microseconds=1)) if whole else None
+
+
 def detail(parsed: DataFrame, date: str, ts: str, path: str | None = None, ip: str | None = None) -> DataFrame:
     """The first request whose UTC time starts with a text, optionally of one path and address.
 
-    The partition date comes from the file name, so the neighbouring dates are read as well.
+    The partition date comes from the file name, so the neighbouring dates are read as well. The text also gives a
+    range of times, which reaches the scan.
     """
-    from datetime import date as d, timedelta
-
-    day = d.fromisoformat(date)
+    day = day_type.fromisoformat(date)
     df = between_dates(parsed, (day - timedelta(days=1)).isoformat(), (day + timedelta(days=1)).isoformat())
+    if span := time_span(ts):
+        df = df.where(F.col("ts_utc").between(*(F.lit(t).cast("timestamp_ntz") for t in span)))
     df = df.where(F.startswith(F.col("ts_utc").cast("string"), F.lit(ts)))
     if path is not None:
         df = df.where(F.col("path") == path)

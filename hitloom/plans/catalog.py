@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 from hitloom import schema, session
 from hitloom.config import SiteRules
 from hitloom.functions import agents, lines, referers, urls, utm
-from hitloom.operators import aggregates, enrich, filters, query, search_join, tables
+from hitloom.operators import aggregates, enrich, filters, query, search_join, sketches, tables
 from hitloom.operators.filters import FilterSpec
 from hitloom.operators.query import QuerySpec
 from hitloom.plans import periods, presets, reports
+from hitloom.plans.dictionaries import Dictionaries
+from hitloom.plans.refresh import Warehouse
 from hitloom.sources import derived, storage
+from hitloom.sources.versions import Files, Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -156,9 +159,60 @@ def sink_empty_typed(spark, sf):
 
 
 def fix_country_type(spark, sf):
-    old = parsed(spark, sf).where(F.col("date") < MIDDLE).withColumn("country", F.length("country"))
-    new = parsed(spark, sf).where(F.col("date") >= MIDDLE)
-    return count_by(storage.fix_column_type(old).unionByName(storage.fix_column_type(new)), "country")
+    """Files with whole-number countries among text ones, repaired in place."""
+    w = Warehouse(spark, fresh_dir(spark), RULES)
+    with w.change() as change:
+        early = parsed(spark, sf).where(F.col("date") < MIDDLE)
+        change.write("parsed", early.withColumn("country", F.length("country")))
+        change.write("parsed", parsed(spark, sf).where(F.col("date") >= MIDDLE))
+    w.fix_country_type()
+    return count_by(w.parsed(), "country")
+
+
+def src_emptied_files(spark, sf):
+    """The state of the raw files after one of them was cut to nothing."""
+    folder, day = fresh_dir(spark), RANGE[0]
+    named = raw_lines(session.tune(spark), sf).select(F.concat(F.lit("site_access_"), "date", F.lit("_000000")).alias("log"), "value")
+    named.write.partitionBy("log").text(folder)
+    known = tables.kept(storage.ingested_files(storage.list_raw(spark, folder)), "manifest")
+    files = Files(spark, folder)
+    inside = f"{folder}/log=site_access_{day}_000000"
+    for name in files.names(inside):
+        files.fs.create(files.path(f"{inside}/{name}"), True).close()
+    status = storage.file_status(storage.list_raw(spark, folder), known)
+    return status.select(F.col("log_date").alias("date"), "status").distinct()
+
+
+def partly_filled(spark, sf) -> Warehouse:
+    """A warehouse of the derived tables whose search tables end early; written once per session."""
+    key = (spark.sparkContext.applicationId, sf, "warehouse")
+    if key not in _written:
+        path = fresh_dir(spark)
+        w = Warehouse(spark, path, RULES)
+        with w.change() as change:
+            change.write("parsed", parsed(spark, sf))
+            change.write("search_perf", search_perf(spark, sf))
+            change.write("files", storage.ingested_files(storage.list_raw(spark, raw_folder(spark, sf)).where(F.col("log_date") < "2024-01-21")))
+            change.write("aggregates/gsc_daily", table(spark, sf, "gsc_daily").where(F.col("date") < MIDDLE))
+            change.write("aggregates/gsc_bot_daily", table(spark, sf, "gsc_bot_daily").where(F.col("date") < "2024-01-18"))
+        _written[key] = path
+    return Warehouse(spark, _written[key], RULES)
+
+
+def listed(spark, values, column: str = "date") -> DataFrame:
+    return spark.createDataFrame([(v,) for v in values], f"{column} string")
+
+
+def labelled_by_dictionary(spark, sf):
+    """Labels of all requests where the values of the first half of the month are in the dictionaries."""
+    requests, store = request_fields(spark, sf), Store(spark, fresh_dir(spark))
+    change = store.begin()
+    known = Dictionaries(change, RULES)
+    known.extend(requests.where(F.col("date") < MIDDLE))
+    change.commit()
+    labels = enrich.enrich(requests, RULES, Dictionaries(store.begin(), RULES))
+    return count_by(labels, "is_bot", "bot_family", "bot_category", "url_group", "locale", "section", "is_resource", "referer_type",
+                    "has_utm", "utm_source_norm", "utm_medium", "utm_campaign")
 
 
 def scan_union_by_name(spark, sf):
@@ -172,15 +226,17 @@ def scan_schema_probe(spark, sf):
     return count_by(p, *tables.known_columns(p, ("method", "no_such_column", "country", "status")))
 
 
+def cov_available_dates(spark, sf):
+    w = partly_filled(spark, sf)
+    return listed(spark, sorted({*w.dates("parsed"), *w.dates("search_perf")}))
+
+
 def cov_freshness(spark, sf):
-    files = storage.list_raw(spark, raw_folder(spark, sf))
-    return old_manifest(files).agg(F.max("log_date").alias("latest"))
+    return listed(spark, [partly_filled(spark, sf).latest_ingested()], "latest")
 
 
 def cov_backfill_missing(spark, sf):
-    done = [table(spark, sf, "gsc_daily").where(F.col("date") < MIDDLE),
-            table(spark, sf, "gsc_bot_daily").where(F.col("date") < "2024-01-18")]
-    return tables.missing_dates([parsed(spark, sf), search_perf(spark, sf)], done)
+    return listed(spark, partly_filled(spark, sf).missing_search_dates())
 
 
 def csv_round_trip(spark, df, limited):
@@ -196,9 +252,15 @@ def csv_report(name: str) -> Query:
     return run
 
 
-def sink_csv_logs(spark, sf):
-    spec = replace(presets.preset("status-over-time"), mode="timeseries", stack_by="")
-    return csv_round_trip(spark, query.run(parsed(spark, sf), spec).drop("time_bucket"), False)
+def csv_logs(spec: QuerySpec) -> Query:
+    """An export read back as text."""
+
+    def run(spark, sf):
+        path = fresh_dir(spark)
+        query.export_csv(parsed(spark, sf), spec, path)
+        return spark.read.option("header", "true").csv(path)
+
+    return run
 
 
 # Parsing and labels -------------------------------------------------------------------------------------------
@@ -285,19 +347,16 @@ def report(name: str, source: str, *args, round_columns=(), dates=None, **kwargs
     return run
 
 
-def period_dates(spark, sf):
-    """The default, last-14 and comparison ranges of the requests, with their hits."""
-    p = parsed(spark, sf)
-    first, last = periods.date_bounds(p)
-    cur_from, cur_to, prev_from, prev_to = periods.compare(None, None, last)
-    ranges = {"default7": periods.default_last_7(None, None, first, last), "last14": periods.last_n(14, last),
-              "current": (cur_from, cur_to), "previous": (prev_from, prev_to)}
-    labels = F.filter(F.array(*[
-        F.when(F.col("date").between(*r), F.struct(F.lit(n).alias("period"), F.lit(r[0]).alias("date_from"),
-                                                   F.lit(r[1]).alias("date_to"))) for n, r in ranges.items()
-    ]), lambda x: x.isNotNull())
-    days = p.groupBy("date").agg(F.count("*").alias("n"))
-    return days.select(F.inline(labels), "n").groupBy("period", "date_from", "date_to").agg(F.sum("n").alias("hits"))
+def period(ranges: Callable[[Warehouse], dict[str, tuple[str, str]]]) -> Query:
+    """Hits of named ranges; the ranges come from the commit, and only their dates are read."""
+
+    def run(spark, sf):
+        w = partly_filled(spark, sf)
+        parts = [w.parsed(periods.date_list(*r)).agg(F.count("*").alias("hits")).select(
+            F.lit(name).alias("period"), F.lit(r[0]).alias("date_from"), F.lit(r[1]).alias("date_to"), "hits") for name, r in ranges(w).items()]
+        return tables.union_by_name(*parts)
+
+    return run
 
 
 def trend_pct(spark, sf):
@@ -339,6 +398,15 @@ def q_detail(spark, sf):
     return found.select("ts_utc", "path", "edge_ip", "method", "url_group", "locale", "referer_type")
 
 
+def unique_visitors_sketch(spark, sf):
+    """Distinct addresses of a range by group, exact and whether the merged daily sketches keep their bound."""
+    requests = tables.between_dates(parsed(spark, sf), *RANGE)
+    estimated = sketches.unique_visitors(sketches.visitor_sketches(requests), "url_group").withColumnRenamed("unique_ips", "estimate")
+    exact = requests.groupBy("url_group").agg(F.count_distinct("edge_ip").alias("unique_ips"))
+    close = F.abs(F.col("estimate") - F.col("unique_ips")) <= F.ceil(F.col("unique_ips") * sketches.ERROR_BOUND)
+    return exact.join(estimated, "url_group").select("url_group", "unique_ips", close.alias("within_bound"))
+
+
 def q_histogram_totals(spark, sf):
     spec = QuerySpec()
     return rounded(query.histogram_totals(query.histogram(parsed(spark, sf), spec, "errors")), "error_pct")
@@ -413,10 +481,13 @@ def queries() -> dict[str, Query]:
         "scan_union_by_name": scan_union_by_name,
         "scan_schema_probe": scan_schema_probe,
         "src_search_perf": lambda s, d: rounded(search_perf(s, d), "ctr", "position"),
-        "cov_available_dates": lambda s, d: tables.available_dates(parsed(s, d), search_perf(s, d)),
+        "src_emptied_files": src_emptied_files,
+        "cov_available_dates": cov_available_dates,
         "cov_freshness": cov_freshness,
         "cov_backfill_missing": cov_backfill_missing,
-        "sink_csv_logs": sink_csv_logs,
+        "sink_csv_logs": csv_logs(QuerySpec(mode="timeseries")),
+        "sink_csv_log_rows": csv_logs(QuerySpec(filters=FilterSpec(include={"status_class": (4, 5)}))),
+        "sink_csv_log_groups": csv_logs(QuerySpec(mode="group", group_by="bot_family", group_by_2="status", filters=FilterSpec(is_bot=True))),
         "fix_country_type": fix_country_type,
         "cfg_rules": cfg_rules,
         # Row parsing and labels.
@@ -454,6 +525,8 @@ def queries() -> dict[str, Query]:
     q["ai_crawler_daily"] = lambda s, d: rounded(table(s, d, "ai_crawler_daily"), "overlap_with_googlebot")
     q["gsc_daily"] = lambda s, d: rounded(table(s, d, "gsc_daily"), "ctr", "position")
     q["gsc_bot_daily"] = lambda s, d: rounded(table(s, d, "gsc_bot_daily"), "ctr", "position")
+    q["gsc_bot_daily_spread"] = lambda s, d: rounded(
+        search_join.gsc_bot_daily(parsed(s, d), search_perf(s, d), hot_rows=0), "ctr", "position")
     q["gsc_daily_deduped"] = lambda s, d: rounded(
         search_join.gsc_daily(parsed(s, d), search_perf(s, d), dedupe_pages=True), "ctr", "position")
     q.update({
@@ -469,6 +542,7 @@ def queries() -> dict[str, Query]:
         "topk_membership": lambda s, d: query.top_keys(query.stack_counts(parsed(s, d), QuerySpec(stack_by="path_segment_1"))),
         "lookup_dim_ua": lookup_dim_ua,
         "lookup_dim_path": lookup_dim_path,
+        "lookup_dictionaries": labelled_by_dictionary,
         "top5_per_group": lambda s, d: aggregates.top_values(
             aggregates.facts(parsed(s, d)).where("is_bot"), "url_group", 5, "top_url_groups"),
         "error_spike_vs_mean": report("error_rate_vs_mean", "daily"),
@@ -481,6 +555,8 @@ def queries() -> dict[str, Query]:
                                                   columns=("bytes_sent", "status", "method"))),
         "rows_count": shaped(query.rows_count, QuerySpec(filters=FilterSpec(search="status:404"))),
         "rows_nth": rows_nth,
+        "rows_page_deep": lambda s, d: query.rows(parsed(s, d), QuerySpec(
+            page=14, per_page=50, sort="bytes_sent", columns=("bytes_sent", "status", "method")), shallow_rows=0),
     })
     q.update({name: filtered(spec) for name, spec in FILTERS.items()})
     q.update({
@@ -502,14 +578,15 @@ def queries() -> dict[str, Query]:
         "q_histogram60_errors": histogram("errors"),
         "q_histogram_totals": q_histogram_totals,
         "q_detail": q_detail,
+        "unique_visitors_sketch": unique_visitors_sketch,
         # Values and suggestions.
         "distinct_agg_values": lambda s, d: tables.distinct_values(table(s, d, "locale_daily"), "locale"),
         "distinct_parsed_values": lambda s, d: tables.distinct_values(parsed(s, d), "country", keep_empty=False),
         "suggest_values": lambda s, d: tables.suggest_values(parsed(s, d), "bot_family", "BOT", 5),
         # Reports.
-        "period_default7": period_dates,
-        "period_last_n": period_dates,
-        "period_compare": period_dates,
+        "period_default7": period(lambda w: {"default7": w.default_range()}),
+        "period_last_n": period(lambda w: {"last14": w.last_days(14)}),
+        "period_compare": period(lambda w: dict(zip(("current", "previous"), (lambda c: (c[:2], c[2:]))(w.comparison())))),
         "trend_pct": trend_pct,
         "summary_kpis": report("summary_kpis", "daily", CURRENT, PREVIOUS),
         "issue_404": report("issue_404", "top_4xx_daily"),

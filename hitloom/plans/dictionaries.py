@@ -118,7 +118,7 @@ class Dictionaries:
         df = df.join(F.broadcast(hot.drop("hits")), F.col(k.field) == F.col("_value"), "left").drop("_value")
         done = F.col(known).isNotNull() | F.col(k.field).isNull()
         spread = F.concat(F.lit("\0"), F.xxhash64(*[F.col(c) for c in df.columns if c in ("edge_ip", "ts_utc", "request_target")]).cast("string"))
-        df = df.withColumnRenamed(known, "_hot").withColumn("_seek", F.when(done, spread).otherwise(F.col(k.field)))
+        df = df.withColumn("_seek", F.when(done, spread).otherwise(F.col(k.field))).withColumnRenamed(known, "_hot")
         df = df.join(cold.drop("hits"), F.col("_seek") == F.col("_value"), "left")
         return df.withColumn(known, F.coalesce("_hot", known)).drop("_hot", "_seek", "_value")
 

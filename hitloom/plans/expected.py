@@ -476,6 +476,11 @@ HOST = "lower(regexp_extract(url, '^https?://([^/?#:]+)', 1))"
 BAD = "status IN (404, 403, 410, 500)"
 
 
+EXPORTED = ("edge_ip", "method", "path", "status", "bytes_sent", "is_bot", "bot_family", "bot_category", "user_agent", "url_group",
+            "locale", "referer", "referer_type", "utm_source_norm", "country")
+GROUP_METRICS = ("hits", "hits_bot", "hits_human", "bytes_total", "unique_ips", "s4xx", "s5xx")
+
+
 def oracle_sql() -> dict[str, str]:
     late_humans = "date < '2024-01-15' OR NOT is_bot"
     affected = "date >= '2024-01-11'"
@@ -497,7 +502,10 @@ def oracle_sql() -> dict[str, str]:
         "cov_available_dates": "SELECT DISTINCT date FROM parsed",
         "cov_freshness": "SELECT MAX(date) AS latest FROM parsed WHERE date < '2024-01-21'",
         "cov_backfill_missing": "SELECT DISTINCT date FROM parsed WHERE date >= '2024-01-15'",
-        "sink_csv_logs": f"SELECT {', '.join(f'CAST({m} AS VARCHAR) AS {m}' for m in ('s2xx', 's3xx', 's4xx', 's5xx', 'hits'))} FROM (SELECT date, {STATUS_COUNTS}, COUNT(*) AS hits FROM parsed GROUP BY date) d",
+        "src_emptied_files": "SELECT DISTINCT date, CASE WHEN date = '2024-01-05' THEN 'changed' ELSE 'ingested' END AS status FROM parsed",
+        "sink_csv_logs": f"SELECT strftime(date_trunc('day', ts_utc), '%Y-%m-%d %H:%M:%S') AS time_bucket, {', '.join(f'CAST({m} AS VARCHAR) AS {m}' for m in ('s2xx', 's3xx', 's4xx', 's5xx', 'hits'))} FROM (SELECT date_trunc('day', ts_utc) AS ts_utc, {STATUS_COUNTS}, COUNT(*) AS hits FROM parsed GROUP BY 1) d",
+        "sink_csv_log_rows": f"SELECT strftime(ts_utc, '%Y-%m-%d %H:%M:%S') AS ts_utc, {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in EXPORTED)} FROM parsed WHERE status_class IN (4, 5)",
+        "sink_csv_log_groups": f"SELECT bot_family, status, {', '.join(f'CAST({m} AS VARCHAR) AS {m}' for m in GROUP_METRICS)} FROM ({grouped('bot_family', 'status', where='is_bot')}) g",
         "fix_country_type": count_by("CASE WHEN date >= '2024-01-15' THEN country ELSE CAST(length(country) AS VARCHAR) END AS country"),
         "cfg_rules": count_by(f"{PROFILE_GROUP} AS url_group", f"{PROFILE_LOCALE} AS locale"),
         "parse_line": "SELECT date, ts_utc, edge_ip, country, status, bytes_sent, referer, user_agent FROM access_log",
@@ -523,6 +531,7 @@ def oracle_sql() -> dict[str, str]:
         "classify_referer": count_by("referer", "referer_type", "referer_path"),
         "classify_referer_pages": f"SELECT page_id, CASE WHEN internal THEN 'Internal' ELSE 'Other' END AS referer_type, CASE WHEN internal THEN regexp_extract(path, '^[^?#]*') END AS referer_path FROM (SELECT *, {HOST} = 'example.com' OR {HOST} LIKE '%.example.com' AS internal FROM web_pages) w",
         **{name: f"SELECT * FROM {name}" for name in AGGREGATES},
+        "gsc_bot_daily_spread": "SELECT * FROM gsc_bot_daily",
         "gsc_daily_deduped": gsc(search_agg(NORM.format(STRIPPED))),
         "join_key_norm": f"SELECT page_id, {NORM.format('path')} AS norm_path FROM web_pages",
         "join_ref_update": count_by("date", "referer_type"),
@@ -531,12 +540,14 @@ def oracle_sql() -> dict[str, str]:
         "ai_overlap": f"SELECT bot_family, COUNT(*) AS pages, COUNT(*) FILTER (WHERE shared) AS shared_pages, ROUND(AVG(CASE WHEN shared THEN 1.0 ELSE 0.0 END), 6) AS overlap FROM ({AI_PAGES}) p GROUP BY bot_family",
         "topk_membership": f"SELECT k FROM (SELECT {dim('path_segment_1')} AS k FROM parsed) p GROUP BY k ORDER BY COUNT(*) DESC, k LIMIT 8",
         "lookup_dim_ua": count_by("user_agent", "is_bot", "bot_family", "bot_category"),
+        "lookup_dictionaries": count_by("is_bot", "bot_family", "bot_category", "url_group", "locale", "section", "is_resource", "referer_type", "has_utm", "utm_source_norm", "utm_medium", "utm_campaign"),
         "lookup_dim_path": count_by("path", "url_group", "locale", "section"),
         "top5_per_group": f"SELECT date, bot_family, CAST(top_url_groups AS VARCHAR) AS top_url_groups FROM ({top_json('url_group', 'is_bot', 'top_url_groups')}) t",
         "topk_desc": top(agg(f"{s('hits_total')} AS hits", "path", source="top_urls_daily"), "hits DESC, path", 20),
         "multi_key_sort": grouped("url_group", "bot_family", "waste_score", limit=40),
         "rows_page": "SELECT ts_utc, path, edge_ip, bytes_sent, status, method FROM parsed ORDER BY bytes_sent, ts_utc, path, edge_ip, method, status, user_agent, request_target, referer NULLS FIRST LIMIT 50 OFFSET 100",
         "rows_count": "SELECT COUNT(*) AS total FROM parsed WHERE status = 404",
+        "rows_page_deep": "SELECT ts_utc, path, edge_ip, bytes_sent, status, method FROM parsed ORDER BY bytes_sent DESC, ts_utc, path, edge_ip, method, status, user_agent, request_target, referer NULLS FIRST LIMIT 50 OFFSET 650",
         "rows_nth": "SELECT ts_utc, path, edge_ip, status, bytes_sent FROM parsed ORDER BY ts_utc, path, edge_ip, method, status, bytes_sent, user_agent, request_target, referer NULLS FIRST LIMIT 1 OFFSET 100",
         **{name: agg(f"{n()} AS n, {SIZE}", "path", "status", where=where) for name, where in FILTERS.items()},
         "q_rows": "SELECT ts_utc, path, edge_ip, method, status, bytes_sent, country, locale, is_bot, bot_family, user_agent, url_group, referer, referer_type, utm_source_norm FROM parsed WHERE status_class = 5 AND date BETWEEN '2024-01-05' AND '2024-01-20' ORDER BY ts_utc DESC, path, edge_ip, method, status, bytes_sent, user_agent, request_target, referer NULLS FIRST LIMIT 200",
@@ -557,7 +568,10 @@ def oracle_sql() -> dict[str, str]:
         "distinct_agg_values": "SELECT DISTINCT locale AS value FROM locale_daily",
         "distinct_parsed_values": "SELECT DISTINCT country AS value FROM parsed WHERE country IS NOT NULL",
         "suggest_values": "SELECT DISTINCT bot_family AS value FROM parsed WHERE lower(bot_family) LIKE '%bot%' ORDER BY value LIMIT 5",
-        "period_default7": PERIODS, "period_last_n": PERIODS, "period_compare": PERIODS,
+        "unique_visitors_sketch": "SELECT url_group, COUNT(DISTINCT edge_ip) AS unique_ips, TRUE AS within_bound FROM parsed WHERE date BETWEEN '2024-01-05' AND '2024-01-20' GROUP BY url_group",
+        "period_default7": f"SELECT * FROM ({PERIODS}) q WHERE period = 'default7'",
+        "period_last_n": f"SELECT * FROM ({PERIODS}) q WHERE period = 'last14'",
+        "period_compare": f"SELECT * FROM ({PERIODS}) q WHERE period IN ('current', 'previous')",
         **reports(),
         **{f"preset_{k.replace('-', '_')}": v for k, v in PRESETS.items()},
         **{f"view_{k.replace('-', '_')}": grouped("url_group", where=v) for k, v in VIEWS.items()},

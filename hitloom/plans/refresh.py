@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hitloom import schema, session
 from hitloom.config import SiteRules
-from hitloom.operators import aggregates, enrich, search_join
+from hitloom.operators import aggregates, enrich, search_join, sketches
 from hitloom.plans import periods
 from hitloom.plans.dictionaries import Dictionaries
 from hitloom.sources import storage
@@ -66,6 +66,12 @@ class Warehouse:
             return SEARCH_TABLES[name](none, self.spark.createDataFrame([], schema.SEARCH_PERF)).schema
         return aggregates.TABLES[name](none).schema
 
+    def unique_visitors(self, date_from: str | None = None, date_to: str | None = None, *keys: str) -> DataFrame:
+        """Estimated distinct addresses of a range by ``url_group``, ``bot_family``, both or neither."""
+        dates = [d for d in self.dates("parsed") if (date_from or d) <= d <= (date_to or d)]
+        empty = sketches.visitor_sketches(self.spark.createDataFrame([], schema.PARSED))
+        return sketches.unique_visitors(self.read("aggregates/visitor_sketches", empty.schema, dates), *keys)
+
     # Coverage: from the commit alone, no file of a table is listed or opened ---------------------------
 
     def dates(self, name: str = "parsed") -> list[str]:
@@ -166,6 +172,7 @@ class Warehouse:
                 else:
                     rows = build(rollups[source[name]] if name in source else parsed)
                 change.write(f"aggregates/{name}", storage.by_date(rows), dates)
+            change.write("aggregates/visitor_sketches", storage.by_date(sketches.visitor_sketches(parsed)), dates)
             self.refresh_search(dates, rollups["pages"])
             for name in ROLLUPS:
                 change.forget(f"_work/{name}")
