@@ -3,6 +3,10 @@
 A text is cut into tokens (runs of up to TOKEN_CHARS characters between white space); every K tokens in a row have a
 rolling hash, and of every WINDOW hashes the least is kept, the rightmost one of equals, with its position. Two texts
 that share a run of K + WINDOW - 1 tokens therefore share a fingerprint; nothing shorter than K tokens matches.
+
+The hash of K tokens is taken from the K token hashes anew at each place. A hash that truly rolls from place to place
+needs the running value of the one before, which Spark's expressions give only by a fold that copies the array at
+every step; with K = 3 the direct form costs two more lookups per place.
 """
 
 from __future__ import annotations
@@ -91,6 +95,11 @@ def neighbours(keys: DataFrame) -> DataFrame:
     return ordered.join(heads, "range").select("key", "n", "copies", F.coalesce("next", "after").alias("next"))
 
 
+def flat_id(doc_id: Column) -> Column:
+    """An id as text that is never null: empty for a null id."""
+    return F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit(""))
+
+
 def compare_neighbours(docs: DataFrame) -> DataFrame:
     """The fingerprint of every text and of its edited text, and how alike they and the next document are.
 
@@ -101,13 +110,20 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     after = stored(neighbours(texts.select("doc_id", "h", F.char_length("text").alias("n"))), "neighbours")
-    keyed = texts.select(F.struct("doc_id", "h").alias("key"), "text")
-    one_each = keyed.withColumn("__row", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1)))).filter("__row = 1").drop("__row")
+    # The texts are shuffled once, by a flat key (a struct's nullability would force a cast and a second shuffle).
+    key = ["id", "h"]
+    keyed = texts.select(flat_id(F.col("doc_id")).alias("id"), "h", "text")
+    one_each = keyed.withColumn("__row", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))).filter("__row = 1").drop("__row")
+
+    def key_of(struct: str, *names: str) -> list[Column]:
+        return [flat_id(F.col(struct)["doc_id"]).alias(names[0]), F.col(struct)["h"].alias(names[1])]
+
     # What each text gives to the document before it: its beginning and its hashes.
-    given = after.select(F.col("next").alias("key"), F.col("key").alias("before"), F.expr("n div 2").cast("int").alias("need"))
-    given = one_each.join(given, "key").withColumn("marks", winnow(F.col("text")))
-    given = given.select(F.col("before").alias("key"), F.substring("text", F.lit(1), F.col("need")).alias("part"), hashes(F.col("marks")).alias("next_hashes"))
-    own = one_each.join(after.select("key", "n", "copies"), "key").join(given, "key")
+    given = after.select(*key_of("next", *key), *key_of("key", "before_id", "before_h"), F.expr("n div 2").cast("int").alias("need"))
+    given = one_each.join(given, key).withColumn("marks", winnow(F.col("text")))
+    given = given.select(F.col("before_id").alias("id"), F.col("before_h").alias("h"), F.substring("text", F.lit(1), F.col("need")).alias("part"),
+                         hashes(F.col("marks")).alias("next_hashes"))
+    own = one_each.join(after.select(*key_of("key", *key), F.col("key")["doc_id"].alias("doc_id"), "n", "copies"), key).join(given, key)
     half = F.expr("n div 2").cast("int")
 
     def edited(part: Column) -> Column:
@@ -121,7 +137,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     own = own.withColumn("edited", edited(F.col("case")["part"])).withColumn("edited_marks", winnow(F.col("edited")))
     own = own.withColumn("own_hashes", hashes(F.col("marks")))
     result = own.select(
-        F.col("key")["doc_id"].alias("doc_id"), F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         printed(F.col("marks")).alias("fingerprint"), printed(F.col("edited_marks")).alias("edited_fingerprint"),
         likeness(F.col("own_hashes"), hashes(F.col("edited_marks"))).alias("near_edited"),
         F.when(F.col("case")["is_copy"], F.lit(1.0)).otherwise(likeness(F.col("own_hashes"), F.col("next_hashes"))).alias("near_next"),
