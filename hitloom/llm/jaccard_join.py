@@ -4,7 +4,8 @@ A document is its set of distinct 5-word shingles; two link if 100 * intersectio
 class from the start. Shingles are hashed into GROUPS groups; the counts per group are a point, and the sum of the
 coordinate minima of two points bounds their overlap from above. Points are compared within blocks: two linked sets
 share one of the first n - ceil(0.75 n) + 1 shingles of any common order, here one that puts frequent shingles last,
-so a block holds the classes that share such a shingle and no link is lost. Candidates come from
+so a block holds the classes that share such a shingle and no link is lost. A pair whose first common shingle stands
+too far back in either order cannot link, so within a block each class has a reach. Candidates come from
 
 1. pivots: in every block each class against the first one, a number of pairs in proportion to the rows;
 2. the R-tree over the points of a block, for classes that are still in different components.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -43,7 +44,7 @@ LEAF = 16
 #: While the trees would compare more rows with each row than this, further pivots are tried first, as long as they link anything.
 PAIRS_PER_ROW, MAX_PIVOT_ROUNDS = 1_000, 8
 #: Pairs that a row of a tile gives at first, and how that grows while any row had more; a tile's rows end the growth.
-FIRST_ALLOWANCE, ALLOWANCE_STEP = 64, 64
+FIRST_ALLOWANCE, ALLOWANCE_STEP = 4, 64
 PAIRS_PER_BATCH = 100_000
 #: Bits of the table that tells most classes without partner apart before their sets are written.
 BITMAP_BITS = 24
@@ -158,39 +159,54 @@ def text_hashes() -> tuple[Column, Column]:
     return F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text"))
 
 
+def reach_of(n, pos):
+    """The largest partner that a set of size ``n`` can link with if the key at place ``pos`` is their first common one.
+
+    The overlap is at most n - pos then, and a link needs 7 * overlap >= 3 * (both sizes). A pair with an earlier
+    common key meets in that key's block, so in each block only pairs within reach of each other need be looked at.
+    """
+    return F.floor(((100 + THRESHOLD) * (n - pos) - THRESHOLD * n) / THRESHOLD).cast("int")
+
+
+BLOCK = {"key": "long", "cls": "long", "n": "int", "reach": "int"}
+
+
 def blocks(signed: DataFrame) -> DataFrame:
-    """key, cls, pivot (the block's first class) and the sizes of both, of all blocks with two classes or more.
+    """key, cls, n, reach and those of the pivot (the block's first class), of all blocks with two classes or more.
 
     The rows are sorted by key, and a task reads them as a stream, so a block of any size takes no memory.
     """
-    rows = signed.filter(F.col("keys").isNotNull()).select("cls", "n", F.explode("keys").alias("key"))
+    rows = signed.filter(F.col("keys").isNotNull()).select("cls", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key"))
+    rows = rows.select("key", "cls", "n", reach_of(F.col("n"), F.col("pos")).alias("reach"))
     rows = rows.repartition("key").sortWithinPartitions("key", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row: key, class, size, its block's pivot and the pivot's size, whether it has been written
+        held = None  # the last row, its block's pivot, and whether it has been written
         for batch in batches:
-            key, cls, n = (batch.column(c).to_numpy() for c in ("key", "cls", "n"))
+            columns = [batch.column(c).to_numpy() for c in BLOCK]
             if held is not None:
-                key, cls, n = (np.concatenate([[h], x]) for h, x in zip(held, (key, cls, n)))
-            if not len(key):
+                columns = [np.concatenate([[h], x]).astype(x.dtype) for h, x in zip(held[0], columns)]
+            if not len(columns[0]):
                 continue
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
-            key, cls, n = key[new], cls[new], n[new]
+            new = np.concatenate([[True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])])
+            columns = [c[new] for c in columns]
+            key = columns[0]
             starts = np.concatenate([[True], key[1:] != key[:-1]])
             first = np.maximum.accumulate(np.where(starts, np.arange(len(key)), 0))
-            pivot, pivot_n = cls[first], n[first]
+            pivots = [c[first] for c in columns[1:]]
             more = np.concatenate([key[1:] == key[:-1], [False]])
             keep = ~starts | more
             if held is not None:
-                pivot[key == held[0]], pivot_n[key == held[0]] = held[3], held[4]
-                keep[0] = more[0] and not held[5]
+                for pivot, value in zip(pivots, held[1]):
+                    pivot[key == held[0][0]] = value
+                keep[0] = more[0] and not held[2]
                 if len(key) == 1:
                     continue
-            columns = {"key": key, "cls": cls, "n": n, "pivot": pivot, "pivot_n": pivot_n}
-            yield pa.RecordBatch.from_pydict({name: x[keep] for name, x in columns.items()})
-            held = (key[-1], cls[-1], n[-1], pivot[-1], pivot_n[-1], bool(keep[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in [*columns, *pivots]], [*BLOCK, "pivot", "pivot_n", "pivot_reach"])
+            held = [c[-1] for c in columns], [p[-1] for p in pivots], bool(keep[-1])
 
-    return rows.select("key", "cls", "n").mapInArrow(run, "key long, cls long, n long, pivot long, pivot_n long")
+    schema = ", ".join(f"{name} {kind}" for name, kind in BLOCK.items())
+    return rows.mapInArrow(run, f"{schema}, pivot long, pivot_n int, pivot_reach int")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -289,7 +305,7 @@ def within_bounds(pairs: DataFrame, points: DataFrame, fine: DataFrame) -> DataF
     return stored(bounded(bounded(pairs, points), fine, FINE_GROUPS), "pairs")
 
 
-def ordered(a, b) -> list:
+def ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
@@ -316,58 +332,70 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """The block rows with their component, of blocks whose classes besides the pivot are not all in one component."""
-    rows = rows.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    many = rows.filter("cls <> pivot").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    """The block rows with their component, as far as a class of another component can be within reach.
+
+    Of two linked sets the smaller reaches its own size, and each the other's.
+    """
+    rows = rows.drop("root").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    indexed = F.when(F.col("reach") >= F.col("n"), F.col("n"))
+    block = rows.groupBy("key").agg(F.min(indexed).alias("least"), F.max("reach").alias("most"))
+    rows = rows.join(block, "key").filter("reach >= least and n <= most").drop("least", "most")
+    many = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     return rows.join(many.select("key"), "key", "left_semi")
 
 
-def distinct_blocks(rows: DataFrame) -> DataFrame:
-    """The rows of one block of each content: blocks that hold the same classes give the same pairs."""
+def merged_blocks(rows: DataFrame) -> DataFrame:
+    """The rows of blocks that hold the same classes put together: one block, with the longest reach of every class."""
     content = rows.groupBy("key").agg(F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64(F.lit(1), "cls").cast("decimal(38,0)")).alias("h2"),
                                       F.count(F.lit(1)).alias("m"))
-    return rows.join(content.groupBy("h", "h2", "m").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    same = content.select("key", F.min("key").over(Window.partitionBy("h", "h2", "m")).alias("as_key"))
+    return rows.join(same, "key").groupBy(F.col("as_key").alias("key"), "cls").agg(
+        F.any_value("n").alias("n"), F.max("reach").alias("reach"), F.any_value("root").alias("root"))
 
 
 def tree_pairs(rows: DataFrame, points: DataFrame, allowance: int) -> DataFrame:
-    """Pairs (a, b, more) of block rows (key, cls, root) in different components that the R-tree of the block lets through.
+    """Pairs (a, b, key, more) of block rows (key, cls, n, reach, root) in different components that the block's R-tree lets through.
 
-    Blocks of more than TILE_ROWS rows are dealt into tiles, and every two tiles of a block meet once. A row gives at
-    most ``allowance`` pairs of a tile; ``more`` tells that it had others, which a later call with a larger allowance
-    gives unless they have come into one component by then.
+    Blocks of more than TILE_ROWS rows are dealt into tiles, and every two tiles of a block meet once. A row gives the
+    ``allowance`` likeliest pairs of a tile; ``more`` tells that it had others, which a later call with a larger
+    allowance gives unless they have come into one component by then.
     """
     sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("tiles"))
     rows = rows.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "cls", "root")
-    rows = rows.join(points, "cls").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = rows.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "cls", "n", "reach", "root")
+    rows = rows.join(points.select("cls", "point"), "cls").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def compare(cls, root, tile, n, points, i, j) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    def compare(cls, root, tile, n, reach, points, i, j) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         one, two = (np.flatnonzero(tile == x) for x in (i, j))
         coarse = folded(points, TREE_GROUPS)
         tree = CountTree(coarse[two], n[two])
         for x in one.tolist():
             y = two[tree.reach(coarse[x], n[x])]
-            y = y[(root[y] != root[x]) & ((cls[y] > cls[x]) | (i != j))]
-            y = y[may_link(most_common(points[y], points[x]), n[x], n[y])]
+            y = y[(root[y] != root[x]) & ((cls[y] > cls[x]) | (i != j)) & (n[y] <= reach[x]) & (n[x] <= reach[y])]
+            bound = most_common(points[y], points[x])
+            fits = may_link(bound, n[x], n[y])
+            y, bound = y[fits], bound[fits]
             if len(y):
-                some = y[:allowance]
-                yield np.minimum(cls[some], cls[x]), np.maximum(cls[some], cls[x]), len(y) > allowance
+                best = y[np.argsort(-bound / (n[y] + n[x]), kind="stable")[:allowance]]
+                yield np.minimum(cls[best], cls[x]), np.maximum(cls[best], cls[x]), len(y) > allowance
 
     def pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, i, j, tile, cls, root, n = (t[c].to_numpy() for c in ("key", "i", "j", "tile", "cls", "root", "n"))
+        key, i, j, tile, cls, root, n, reach = (t[c].to_numpy() for c in ("key", "i", "j", "tile", "cls", "root", "n", "reach"))
+        n, reach = n.astype(np.int64), reach.astype(np.int64)
         pts = points_of(t["point"], FINE_GROUPS)
         cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         waiting, size = [], 0
 
         def batch():
-            lo, hi, more = (np.concatenate([w[k] for w in waiting]) for k in range(3))
-            _, at = np.unique(np.stack([lo, hi]), axis=1, return_index=True)
-            return pa.RecordBatch.from_pydict({"a": lo[at], "b": hi[at], "more": more[at]})
+            lo, hi, at, more = (np.concatenate([w[k] for w in waiting]) for k in range(4))
+            # Once per pair, but for the keys of blocks that are not done.
+            _, first = np.unique(np.stack([lo, hi, np.where(more, at, 0)]), axis=1, return_index=True)
+            return pa.RecordBatch.from_pydict({"a": lo[first], "b": hi[first], "key": at[first], "more": more[first]})
 
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
-            for lo, hi, more in compare(cls[a:b], root[a:b], tile[a:b], n[a:b], pts[a:b], i[a], j[a]):
-                waiting.append((lo, hi, np.full(len(lo), more)))
+            for lo, hi, more in compare(cls[a:b], root[a:b], tile[a:b], n[a:b], reach[a:b], pts[a:b], i[a], j[a]):
+                waiting.append((lo, hi, np.full(len(lo), key[a]), np.full(len(lo), more)))
                 size += len(lo)
                 if size >= PAIRS_PER_BATCH:
                     yield batch()
@@ -389,7 +417,7 @@ def tree_pairs(rows: DataFrame, points: DataFrame, allowance: int) -> DataFrame:
         if waiting:
             yield from pairs_of(pa.Table.from_batches(waiting))
 
-    return rows.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return rows.mapInArrow(run, "a long, b long, key long, more boolean")
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -401,12 +429,11 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     points = stored(classes.join(wanted, "cls", "left_semi"), "points")
     fine = points.select("cls", "n", F.col("fine").alias("point"))
     points = points.drop("fine")
-    like_sizes = f"cls <> pivot and 100 * least(n, pivot_n) >= {THRESHOLD} * greatest(n, pivot_n)"
-    pairs = rows.filter(like_sizes).select(*ordered("cls", "pivot")).distinct()
+    pairs = rows.filter("cls <> pivot and n <= pivot_reach and pivot_n <= reach").select(*ordered("cls", "pivot")).distinct()
     done = stored(verified(docs, within_bounds(pairs, points, fine)), "verified")
     roots = components(done.filter("linked"))
-    apart = stored(distinct_blocks(_apart(rows.select("key", "cls", "pivot"), roots)), "apart")
-    rows = apart.select("key", "cls", "pivot")
+    rows = stored(merged_blocks(_apart(rows.select(*BLOCK), roots)), "apart")
+    apart = rows
     for turn in range(MAX_PIVOT_ROUNDS):
         per_root = apart.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
         per_key = per_root.groupBy("key").agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("within"))
@@ -414,9 +441,9 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not total or across <= PAIRS_PER_ROW * total:
             break
         # Another class of each block, by chance, takes the pivot's place.
-        pick = F.min_by("cls", F.xxhash64("cls", F.lit(turn)))
-        pivots = apart.groupBy("key").agg(pick.alias("other"), F.min_by("root", F.xxhash64("cls", F.lit(turn))).alias("other_root"))
-        more = apart.join(pivots, "key").filter("root <> other_root").select(*ordered("cls", "other")).distinct()
+        pick = F.min_by(F.struct("cls", "n", "reach", "root"), F.xxhash64("cls", F.lit(turn)))
+        pivots = apart.groupBy("key").agg(pick.alias("p"))
+        more = apart.join(pivots, "key").filter("root <> p.root and n <= p.reach and p.n <= reach").select(*ordered("cls", "p.cls")).distinct()
         more = more.join(done, ["a", "b"], "left_anti")
         found = stored(verified(docs, within_bounds(more, points, fine)), "verified")
         done = done.unionByName(found)
@@ -426,15 +453,15 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         apart = stored(_apart(rows, roots), "apart")
     allowance = FIRST_ALLOWANCE
     while True:
-        found = stored(tree_pairs(apart.select("key", "cls", "root"), fine, allowance), "found")
-        unfinished = found.filter("more").limit(1).count() > 0
-        more = stored(found.select("a", "b").join(done, ["a", "b"], "left_anti"), "pairs")
+        found = stored(tree_pairs(apart, fine, allowance), "found")
+        more = stored(found.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         done = done.unionByName(stored(verified(docs, more), "verified"))
         roots = components(done.filter("linked"))
-        if not unfinished:
+        unfinished = found.filter("more").select("key").distinct()
+        if unfinished.limit(1).count() == 0:
             break
         allowance *= ALLOWANCE_STEP
-        apart = stored(_apart(rows, roots), "apart")
+        apart = stored(_apart(apart.join(unfinished, "key", "left_semi"), roots), "apart")
     return signed, roots
 
 
