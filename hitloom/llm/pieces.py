@@ -2,10 +2,14 @@
 
 The segmentation of a text is the one with the largest sum of piece scores; of equal sums the longest last piece wins,
 from the end of the text on. No piece of the vocabulary goes on past the start of a run of spaces, so an ordinary text
-is encoded word by word. A text of more than CHUNK characters is cut into chunks wherever CHUNK characters end. The
+is encoded word by word, all distinct words of a batch together. A text of more than CHUNK characters is cut into chunks wherever CHUNK characters end. The
 state at a cut is how many characters the piece across it reaches into the next chunk. Every chunk gives a matrix of
 best scores from entry to exit state; an associative max-plus scan gives the true scores at every cut; with these each
 chunk maps exit states to entry states, the maps are composed from the end, and each chunk is traced back on its own.
+
+The vocabulary is fixed and public; its stored scores are taken as they are and add up along a path. The default file
+comes from a merge model, whose stored scores are ranks: its own encoder merges greedily by rank, which no sum over a
+path expresses, so the ids here are those of the best path by score and not that encoder's. Decoding inverts both.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -24,11 +29,12 @@ from pyspark.sql.types import ArrayType, IntegerType
 from hitloom.llm.common import fresh, slices, stored, unsigned_crc32
 
 CHUNK = 1 << 16
+CHUNKS_PER_TASK = 4
 SPACE = "▁"
 #: A character without a piece costs this much more than the worst piece, and becomes its UTF-8 bytes.
 UNKNOWN_COST = 10
-#: Words whose ids a Python worker remembers; longer words are not remembered.
-CACHED_WORDS, CACHED_LENGTH = 300_000, 64
+#: Words up to this length are encoded together, longer ones one by one.
+WORD_CHARS = 64
 NEVER = -(1 << 60)
 
 
@@ -66,7 +72,97 @@ class Pieces:
         self.lengths = {c: sorted(x) for c, x in lengths.items()}
         if any(SPACE in p.lstrip(SPACE) for p in self.known):
             raise ValueError("a piece goes on past the start of a run of spaces")
-        self.words: dict[str, list[int]] = {}
+        self._grow()
+
+    def _grow(self) -> None:
+        """The pieces as a tree of characters in arrays: sorted (node, character) keys and the nodes they lead to."""
+        nodes: dict[tuple[int, int], int] = {}
+        piece, score = [-1], [0]
+        for text, (i, value) in self.known.items():
+            at = 0
+            for c in text:
+                step = (at, ord(c))
+                if step not in nodes:
+                    nodes[step] = len(piece)
+                    piece.append(-1)
+                    score.append(0)
+                at = nodes[step]
+            piece[at], score[at] = i, value
+        steps = sorted(nodes)
+        self._keys = np.array([n << 21 | c for n, c in steps], np.int64)
+        self._next = np.array([nodes[x] for x in steps], np.int64)
+        self._piece, self._score = np.array(piece, np.int64), np.array(score, np.int64)
+
+    def lattice(self, chars: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces that begin at a character and end within its room: start, length, id and score.
+
+        A character that is no piece has id -1 and the unknown score.
+        """
+        at, node = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        found = []
+        for n in range(1, self.longest + 1):
+            fits = room[at] >= n
+            at, node = at[fits], node[fits]
+            key = node << 21 | chars[at + n - 1]
+            place = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+            hit = self._keys[place] == key
+            if n == 1:
+                lost = at[~hit | (self._piece[self._next[place]] < 0)]
+                found.append((lost, np.ones(len(lost), np.int64), np.full(len(lost), -1), np.full(len(lost), self.unknown)))
+            at, node = at[hit], self._next[place[hit]]
+            whole = self._piece[node] >= 0
+            found.append((at[whole], np.full(int(whole.sum()), n), self._piece[node[whole]], self._score[node[whole]]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and the offsets of each word's."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        together = np.flatnonzero(sizes <= WORD_CHARS)
+        chars = np.frombuffer("".join(words[i] for i in together.tolist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+        size = sizes[together]
+        start = np.cumsum(size) - size
+        within = np.arange(len(chars)) - np.repeat(start, size)
+        at, n, piece, score = self.lattice(chars, np.repeat(size, size) - within)
+        # Every word has one slot more than characters: its places from 0 to its end.
+        slot = at + np.repeat(np.arange(len(size)), size)[at]
+        step = within[at].astype(np.uint8)
+        order = np.argsort(step, kind="stable")
+        slot, n, piece, score = slot[order], n[order], piece[order], score[order]
+        cuts = np.searchsorted(step[order], np.arange(WORD_CHARS + 1))
+        first = start + np.arange(len(size))
+        slots = int(size.sum()) + len(size)
+        best, last, last_id = np.full(slots, NEVER), np.zeros(slots, np.int64), np.full(slots, -1)
+        best[first] = 0
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            # Places in order, so the first of equal sums has the longest last piece; targets of one place differ.
+            to, sums = slot[a:b] + n[a:b], best[slot[a:b]] + score[a:b]
+            better = sums > best[to]
+            to = to[better]
+            best[to], last[to], last_id[to] = sums[better], n[a:b][better], piece[a:b][better]
+        on_path, here = np.zeros(slots, bool), first + size
+        while len(here):
+            here = here[last[here] > 0]
+            on_path[here] = True
+            here = here - last[here]
+        owner = np.repeat(np.arange(len(size)), size + 1)
+        chosen = np.flatnonzero(on_path)
+        # Words with a character of no piece become bytes in part, and long words are searched alone.
+        odd = np.unique(owner[chosen[last_id[chosen] < 0]])
+        alone = {int(i): self.word(words[int(i)]) for i in [*together[odd], *np.flatnonzero(sizes > WORD_CHARS)]}
+        plain = chosen[~np.isin(owner[chosen], odd)]
+        counts = np.zeros(len(words), np.int64)
+        np.add.at(counts, together[owner[plain]], 1)
+        for i, ids in alone.items():
+            counts[i] = len(ids)
+        offsets = np.concatenate([[0], np.cumsum(counts)])
+        flat = np.zeros(offsets[-1], np.int32)
+        mine = together[owner[plain]]
+        begins = np.concatenate([[True], mine[1:] != mine[:-1]]) if len(mine) else np.zeros(0, bool)
+        rank = np.arange(len(mine)) - np.maximum.accumulate(np.where(begins, np.arange(len(mine)), 0)) if len(mine) else mine
+        flat[offsets[mine] + rank] = last_id[plain]
+        for i, ids in alone.items():
+            flat[offsets[i] : offsets[i + 1]] = ids
+        return flat, offsets
 
     def steps(self, text: str, p: int) -> list[tuple[int, int]]:
         """Lengths and scores of the pieces at a place, shortest first; the single character always is one."""
@@ -107,22 +203,28 @@ class Pieces:
         return [i for piece in reversed(pieces) for i in self.ids(piece)], place
 
     def word(self, text: str) -> list[int]:
-        found = self.words.get(text)
-        if found is None:
-            found = self.trace(text, self.forward(text, len(text), [0])[1], len(text))[0]
-            if len(text) <= CACHED_LENGTH:
-                if len(self.words) >= CACHED_WORDS:
-                    self.words.clear()
-                self.words[text] = found
-        return found
-
-    def encode(self, text: str) -> list[int]:
-        return [i for word in WORD.findall(shown(text)) for i in self.word(word)] if text else []
-
-    def decode(self, ids: list[int]) -> str:
-        """Ids of no piece count as nothing; bytes that are no UTF-8 become the replacement character."""
-        size = len(self.bytes_of)
-        return b"".join(self.bytes_of[i] for i in ids if i is not None and 0 <= i < size).decode("utf-8", "replace").removeprefix(" ")
+        return self.trace(text, self.forward(text, len(text), [0])[1], len(text))[0]
+
+    def encode(self, texts: list[str | None]) -> pa.ListArray:
+        """The ids of every text; of a null or empty one none."""
+        split = [WORD.findall(shown(t)) if t else [] for t in texts]
+        coded = pa.array([w for words in split for w in words], pa.string()).dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, offsets = self.word_ids(coded.dictionary.to_pylist())
+        sizes = np.diff(offsets)[codes]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = flat[np.repeat(offsets[codes] - ends[:-1], sizes) + np.arange(ends[-1])]
+        of_text = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
+        return pa.ListArray.from_arrays(pa.array(ends[of_text].astype(np.int32)), pa.array(ids, pa.int32()))
+
+    def decode(self, ids: pa.Array) -> list[str]:
+        """The texts of lists of ids. Ids of no piece count as nothing; bytes that are no UTF-8 become the replacement character."""
+        offsets, values = ids.offsets.to_numpy().astype(np.int64), ids.values.fill_null(-1).to_numpy(zero_copy_only=False)
+        values = values[offsets[0] : offsets[-1]]
+        known = np.where((values >= 0) & (values < len(self.bytes_of)), values, len(self.bytes_of))
+        parts = pa.array([*self.bytes_of, b""], pa.binary()).take(pa.array(known))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), parts), b"")
+        return [b.decode("utf-8", "replace").removeprefix(" ") for b in joined.to_pylist()]
 
     def transfer(self, text: str, size: int) -> np.ndarray:
         """Best scores of a chunk from each entry state (row) to each exit state."""
@@ -212,9 +314,12 @@ def _giant_ids(giant: DataFrame, row: str, text: str, model: str, chunk: int) ->
             ids = [pieces(model).trace(t, last, n + j)[0] for (t, n, last), j in zip(entered(f), f["exit"])]
             yield pd.DataFrame({"row": f["row"], "k": f["k"], "ids": ids})
 
-    chunks = stored(giant.select(row, text).mapInArrow(cut, "row long, k int, size int, part string").repartition("row", "k"), "chunks")
+    chunks = stored(giant.select(row, text).mapInArrow(cut, "row long, k int, size int, part string"), "chunks")
+    # A chunk is little to read and much to compute, so small partitions: a number is not merged by adaptive execution.
+    tasks = max(1, -(-chunks.count() // CHUNKS_PER_TASK))
+    chunks = chunks.repartition(tasks, "row", "k")
     first = chunks.mapInPandas(matrices, "row long, k int, m binary").groupBy("row").applyInPandas(entries, "row long, k int, entry binary")
-    chunks = stored(chunks.join(first, ["row", "k"]), "chunks")
+    chunks = stored(chunks.join(first, ["row", "k"]), "chunks").repartition(tasks, "row", "k")
     last = chunks.mapInPandas(maps, "row long, k int, back array<int>").groupBy("row").applyInPandas(exits, "row long, k int, exit int")
     found = chunks.join(last, ["row", "k"]).mapInPandas(traced, "row long, k int, ids array<int>")
     in_order = F.array_sort(F.collect_list(F.struct("k", "ids")))
@@ -234,9 +339,9 @@ def encode(docs: DataFrame, text_column: str = "text", output: str = "ids", mode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(iter([whole]), text_column):
-                ids = [[] if t is None else pieces(model).encode(t) for t in batch.column(text_column).to_pylist()]
+                ids = pieces(model).encode(batch.column(text_column).to_pylist())
                 names = [c for c in batch.schema.names if c != output]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(ids, pa.list_(pa.int32()))], [*names, output])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), ids], [*names, output])
 
     docs = docs.drop(output) if output != text_column else docs
     giant = F.coalesce(F.char_length(f"`{text_column}`") >= chunk, F.lit(False))
@@ -255,7 +360,8 @@ def decode(df: DataFrame, ids_column: str = "ids", output: str = "decoded", mode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [pieces(model).decode(ids.as_py() or []) for ids in batch.column(ids_column)]
+            lists = batch.column(ids_column)
+            texts = pieces(model).decode(pc.if_else(lists.is_valid(), lists, pa.scalar([], lists.type)) if lists.null_count else lists)
             names = [c for c in batch.schema.names if c != output]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], [*names, output])
 

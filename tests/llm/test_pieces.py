@@ -3,6 +3,7 @@
 import random
 
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from hitloom.llm import pieces
@@ -10,25 +11,43 @@ from hitloom.llm import pieces
 RANDOM = random.Random(5)
 TEXTS = [
     None, "", " ", "   two  spaces ", "plain words of a text", "naïve café ▁ literal", "日本語テキスト🙂\n\ttab", "a" * 700,
+    "w" * 63 + " " + "wonder" * 11 + "é" * 3 + " 日", "".join(RANDOM.choice("abé日 \t.▁") for _ in range(500)),
     "".join(RANDOM.choice("abcehilnorst ") for _ in range(900)), "x y" * 64, "the end " * 100, "the end " * 100,
 ]
 
 
+def vocabulary():
+    """Pieces, ids and scores read from the model file by themselves."""
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    table, raw = {}, {}
+    for i in range(model.get_piece_size()):
+        if model.is_byte(i):
+            raw[int(model.id_to_piece(i)[3:5], 16)] = i
+        elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+            table[model.id_to_piece(i)] = (i, round(model.get_score(i) * 1_000_000))
+    return table, raw
+
+
+TABLE, BYTES = vocabulary()
+UNKNOWN, LONGEST = min(s for _, s in TABLE.values()) - 10_000_000, max(map(len, TABLE))
+
+
 def best_path(text):
     """The ids by the definition: the largest sum, ties to the longest last piece, over the whole text at once."""
     if not text:
         return []
-    p, seen = pieces.pieces(pieces.default_model()), pieces.shown(text)
+    seen = "\u2581" + text.replace("\u2581", "\ufdd0").replace(" ", "\u2581")
     best = [(0, 0)] + [None] * len(seen)
     for end in range(1, len(seen) + 1):
-        for n in range(min(end, p.longest), 0, -1):
-            hit = p.known.get(seen[end - n : end])
-            score = hit[1] if hit else p.unknown if n == 1 else None
+        for n in range(min(end, LONGEST), 0, -1):
+            hit = TABLE.get(seen[end - n : end])
+            score = hit[1] if hit else UNKNOWN if n == 1 else None
             if score is not None and (best[end] is None or best[end - n][0] + score > best[end][0]):
                 best[end] = (best[end - n][0] + score, n)
     out, end = [], len(seen)
     while end:
-        out = p.ids(seen[end - best[end][1] : end]) + out
+        piece = seen[end - best[end][1] : end]
+        out = ([TABLE[piece][0]] if piece in TABLE else [BYTES[b] for b in piece.replace("\ufdd0", "\u2581").encode()]) + out
         end -= best[end][1]
     return out
 
