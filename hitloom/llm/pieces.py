@@ -144,24 +144,30 @@ class Pieces:
             here = here[last[here] > 0]
             on_path[here] = True
             here = here - last[here]
-        owner = np.repeat(np.arange(len(size)), size + 1)
         chosen = np.flatnonzero(on_path)
-        # Words with a character of no piece become bytes in part, and long words are searched alone.
-        odd = np.unique(owner[chosen[last_id[chosen] < 0]])
-        alone = {int(i): self.word(words[int(i)]) for i in [*together[odd], *np.flatnonzero(sizes > WORD_CHARS)]}
-        plain = chosen[~np.isin(owner[chosen], odd)]
+        owner = np.repeat(np.arange(len(size)), size + 1)[chosen]
+        ids, width = last_id[chosen][:, None].repeat(4, axis=1), np.ones(len(chosen), np.int64)
+        # A character of no piece becomes the ids of its bytes.
+        lost = np.flatnonzero(ids[:, 0] < 0)
+        kinds, which = np.unique(chars[chosen[lost] - owner[lost] - 1], return_inverse=True)
+        as_bytes = [self.ids(chr(c)) for c in kinds.tolist()]
+        ids[lost] = np.array([b + [0] * (4 - len(b)) for b in as_bytes], np.int64).reshape(-1, 4)[which]
+        width[lost] = np.array([len(b) for b in as_bytes], np.int64)[which]
+        alone = {int(i): self.word(words[int(i)]) for i in np.flatnonzero(sizes > WORD_CHARS)}
         counts = np.zeros(len(words), np.int64)
-        np.add.at(counts, together[owner[plain]], 1)
-        for i, ids in alone.items():
-            counts[i] = len(ids)
+        counts[together] = np.bincount(owner, width, len(together)).astype(np.int64)
+        for i, found in alone.items():
+            counts[i] = len(found)
         offsets = np.concatenate([[0], np.cumsum(counts)])
         flat = np.zeros(offsets[-1], np.int32)
-        mine = together[owner[plain]]
-        begins = np.concatenate([[True], mine[1:] != mine[:-1]]) if len(mine) else np.zeros(0, bool)
-        rank = np.arange(len(mine)) - np.maximum.accumulate(np.where(begins, np.arange(len(mine)), 0)) if len(mine) else mine
-        flat[offsets[mine] + rank] = last_id[plain]
-        for i, ids in alone.items():
-            flat[offsets[i] : offsets[i + 1]] = ids
+        ends = np.cumsum(width)
+        before = np.concatenate([[0], np.cumsum(counts[together])])[owner]  # ids of the words before, of those together
+        place = offsets[together[owner]] + ends - width - before
+        for k in range(4):
+            some = width > k
+            flat[place[some] + k] = ids[some, k]
+        for i, found in alone.items():
+            flat[offsets[i] : offsets[i + 1]] = found
         return flat, offsets
 
     def steps(self, text: str, p: int) -> list[tuple[int, int]]:
