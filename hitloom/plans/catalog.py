@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from hitloom import schema, session
 from hitloom.config import SiteRules
 from hitloom.functions import agents, lines, referers, urls, utm
-from hitloom.operators import aggregates, enrich, filters, query, search_join, sketches, tables
+from hitloom.operators import aggregates, enrich, filters, query, search_join, sketches, suggestions, tables
 from hitloom.operators.filters import FilterSpec
 from hitloom.operators.query import QuerySpec
 from hitloom.plans import periods, presets, reports
@@ -398,6 +398,11 @@ def q_detail(spark, sf):
     return found.select("ts_utc", "path", "edge_ip", "method", "url_group", "locale", "referer_type")
 
 
+def suggest_values_index(spark, sf):
+    values = suggestions.field_values(parsed(spark, sf))
+    return suggestions.suggest(values, suggestions.field_grams(values), "bot_family", "BOT", 5)
+
+
 def unique_visitors_sketch(spark, sf):
     """Distinct addresses of a range by group, exact and whether the merged daily sketches keep their bound."""
     requests = tables.between_dates(parsed(spark, sf), *RANGE)
@@ -583,6 +588,7 @@ def queries() -> dict[str, Query]:
         "distinct_agg_values": lambda s, d: tables.distinct_values(table(s, d, "locale_daily"), "locale"),
         "distinct_parsed_values": lambda s, d: tables.distinct_values(parsed(s, d), "country", keep_empty=False),
         "suggest_values": lambda s, d: tables.suggest_values(parsed(s, d), "bot_family", "BOT", 5),
+        "suggest_values_index": suggest_values_index,
         # Reports.
         "period_default7": period(lambda w: {"default7": w.default_range()}),
         "period_last_n": period(lambda w: {"last14": w.last_days(14)}),

@@ -568,6 +568,7 @@ def oracle_sql() -> dict[str, str]:
         "distinct_agg_values": "SELECT DISTINCT locale AS value FROM locale_daily",
         "distinct_parsed_values": "SELECT DISTINCT country AS value FROM parsed WHERE country IS NOT NULL",
         "suggest_values": "SELECT DISTINCT bot_family AS value FROM parsed WHERE lower(bot_family) LIKE '%bot%' ORDER BY value LIMIT 5",
+        "suggest_values_index": "SELECT DISTINCT bot_family AS value FROM parsed WHERE lower(bot_family) LIKE '%bot%' ORDER BY value LIMIT 5",
         "unique_visitors_sketch": "SELECT url_group, COUNT(DISTINCT edge_ip) AS unique_ips, TRUE AS within_bound FROM parsed WHERE date BETWEEN '2024-01-05' AND '2024-01-20' GROUP BY url_group",
         "period_default7": f"SELECT * FROM ({PERIODS}) q WHERE period = 'default7'",
         "period_last_n": f"SELECT * FROM ({PERIODS}) q WHERE period = 'last14'",

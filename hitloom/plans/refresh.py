@@ -7,10 +7,11 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hitloom import schema, session
 from hitloom.config import SiteRules
-from hitloom.operators import aggregates, enrich, search_join, sketches
+from hitloom.operators import aggregates, enrich, search_join, sketches, suggestions
 from hitloom.plans import periods
 from hitloom.plans.dictionaries import Dictionaries
 from hitloom.sources import storage
@@ -19,13 +20,17 @@ from hitloom.sources.versions import Store, Transaction
 SEARCH_TABLES = {"gsc_daily": search_join.gsc_daily, "gsc_bot_daily": search_join.gsc_bot_daily}
 ROLLUPS = {"traffic": aggregates.traffic_rollup, "pages": aggregates.page_rollup, "utm": aggregates.utm_rollup}
 
+VALUES, GRAMS = (T.StructType([T.StructField(n, T.StringType()) for n in names]) for names in (("date", "field", "value"), ("date", "field", "gram", "value")))
+
 
 class Warehouse:
     """The tables of one site in a versioned store: what an ingest changes becomes visible at its end, all at once."""
 
-    def __init__(self, spark: SparkSession, root: str, rules: SiteRules, time_zone: str | None = None):
-        """``time_zone`` is that of the stored ``hourly`` table; UTC if not given."""
+    def __init__(self, spark: SparkSession, root: str, rules: SiteRules, time_zone: str | None = None, clustered: bool = False):
+        """``time_zone`` is that of the stored ``hourly`` table; UTC if not given. ``clustered`` sorts the requests of a
+        file by path and writes Bloom filters, so that looking up one request opens one row group."""
         self.spark, self.root, self.rules, self.time_zone = session.tune(spark), root.rstrip("/"), rules, time_zone
+        self.clustered = clustered
         self.store = Store(spark, self.root)
         self._change: Transaction | None = None
 
@@ -72,6 +77,11 @@ class Warehouse:
         empty = sketches.visitor_sketches(self.spark.createDataFrame([], schema.PARSED))
         return sketches.unique_visitors(self.read("aggregates/visitor_sketches", empty.schema, dates), *keys)
 
+    def suggest(self, field: str, text: str = "", limit: int = 10, dates=None) -> DataFrame:
+        """Values of a field that contain a text, without reading requests."""
+        values, grams = self.read("aggregates/field_values", VALUES, dates), self.read("aggregates/field_grams", GRAMS, dates)
+        return suggestions.suggest(values, grams, field, text, limit)
+
     # Coverage: from the commit alone, no file of a table is listed or opened ---------------------------
 
     def dates(self, name: str = "parsed") -> list[str]:
@@ -147,7 +157,11 @@ class Warehouse:
             requests = change.read(fields_table, fields.schema, found)
             labels = Dictionaries(change, self.rules)
             labels.extend(requests)
-            change.write("parsed", enrich.enrich(requests, self.rules, labels), dates)
+            rows = enrich.enrich(requests, self.rules, labels)
+            if self.clustered:
+                change.write("parsed", rows.sortWithinPartitions("date", "path", "ts_utc"), dates, options=storage.LOOKUP_OPTIONS)
+            else:
+                change.write("parsed", rows, dates)
             change.forget(fields_table)
 
     # Aggregates ---------------------------------------------------------------------------------------
@@ -173,6 +187,9 @@ class Warehouse:
                     rows = build(rollups[source[name]] if name in source else parsed)
                 change.write(f"aggregates/{name}", storage.by_date(rows), dates)
             change.write("aggregates/visitor_sketches", storage.by_date(sketches.visitor_sketches(parsed)), dates)
+            found = change.write("aggregates/field_values", storage.by_date(suggestions.field_values(parsed)), dates)
+            values = change.read("aggregates/field_values", VALUES, found)
+            change.write("aggregates/field_grams", storage.by_date(suggestions.field_grams(values)), dates)
             self.refresh_search(dates, rollups["pages"])
             for name in ROLLUPS:
                 change.forget(f"_work/{name}")

@@ -18,6 +18,9 @@ DATE_IN_FILE = r"_access_(\d{4}-\d{2}-\d{2})_[^/]*$"
 DATE_IN_FOLDER = r"_access_(\d{4}-\d{2}-\d{2})_[^/]*/[^/]*$"
 #: The one table of a folder that ``replace_partitions`` writes.
 ROWS = "rows"
+#: Writer options for tables in which single requests are looked up: Bloom filters on what a request is known by.
+LOOKUP_OPTIONS = {"parquet.bloom.filter.enabled#path": "true", "parquet.bloom.filter.enabled#edge_ip": "true",
+                  "parquet.bloom.filter.expected.ndv#path": "200000", "parquet.bloom.filter.expected.ndv#edge_ip": "200000"}
 
 
 def file_date(path: Column) -> Column:
