@@ -209,13 +209,15 @@ def blocks(signed: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"{schema}, pivot long, pivot_n int, pivot_reach int")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame:
     """cls and shingles of the classes in ``wanted``, one row each.
 
-    A bit table of fixed size (2 MB), computed from all wanted classes, keeps most others from being shuffled.
+    One text stands for each class. A bit table of fixed size (2 MB), computed from the hashes of all of these, tells
+    most other texts apart before they are cut into shingles.
     """
     spark = docs.sparkSession
-    bytes_ = wanted.select(F.pmod("cls", F.lit(1 << BITMAP_BITS)).alias("bit")).groupBy(F.expr("bit div 8").alias("at")).agg(
+    texts = signed.select("cls", "h1").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("h1").alias("h1"))
+    bytes_ = texts.select(F.pmod("h1", F.lit(1 << BITMAP_BITS)).alias("bit")).groupBy(F.expr("bit div 8").alias("at")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("bit") % 8).cast("int"))).alias("bits")).toArrow()
     table = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     table[bytes_["at"].to_numpy()] = bytes_["bits"].to_numpy()
@@ -223,22 +225,23 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = shared.value, set()
-        for batch in slices(batches):
-            cls, sets = [], []
-            for s in shingle_sets(batch.column("text")):
-                c = _class_of(s) if len(s) else None
-                if c is None or c in seen:
-                    continue
-                bit = c % (1 << BITMAP_BITS)
-                if table[bit >> 3] >> (bit & 7) & 1:
+        for whole in batches:
+            bit = whole.column("h1").to_numpy() % (1 << BITMAP_BITS)
+            for batch in slices(iter([whole.filter(pa.array((table[bit >> 3] >> (bit & 7) & 1) == 1))])):
+                cls, sets = [], []
+                for s in shingle_sets(batch.column("text")):
+                    c = _class_of(s) if len(s) else None
+                    if c is None or c in seen:
+                        continue
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(c)
                     cls.append(c)
                     sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
 
-    found = docs.select("text").mapInArrow(run, "cls long, shingles array<long>").join(wanted.select("cls"), "cls", "left_semi")
+    hashed = docs.select("text", text_hashes()[0].alias("h1"))
+    found = hashed.mapInArrow(run, "cls long, shingles array<long>").join(wanted.select("cls"), "cls", "left_semi")
     return found.groupBy("cls").agg(F.any_value("shingles").alias("shingles"))
 
 
@@ -291,13 +294,15 @@ def bounded(pairs: DataFrame, points: DataFrame, groups: int = GROUPS) -> DataFr
     return fits.mapInArrow(run, "a long, b long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The stored pairs with whether they link by their sets, which only now are fetched."""
-    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The stored pairs with whether they link by their sets, which only now are fetched; stored too."""
+    if pairs.limit(1).count() == 0:
+        return pairs.withColumn("linked", F.lit(False))
+    sets = sets_of(docs, signed, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("s_a")), "a")
     both = both.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("s_b")), "b")
     both = both.select("a", "b", (F.size("s_a") + F.size("s_b")).alias("total"), F.size(F.array_intersect("s_a", "s_b")).alias("common"))
-    return both.select("a", "b", (100 * F.col("common") >= THRESHOLD * (F.col("total") - F.col("common"))).alias("linked"))
+    return stored(both.select("a", "b", (100 * F.col("common") >= THRESHOLD * (F.col("total") - F.col("common"))).alias("linked")), "verified")
 
 
 def within_bounds(pairs: DataFrame, points: DataFrame, fine: DataFrame) -> DataFrame:
@@ -430,7 +435,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     fine = points.select("cls", "n", F.col("fine").alias("point"))
     points = points.drop("fine")
     pairs = rows.filter("cls <> pivot and n <= pivot_reach and pivot_n <= reach").select(*ordered("cls", "pivot")).distinct()
-    done = stored(verified(docs, within_bounds(pairs, points, fine)), "verified")
+    done = verified(docs, signed, within_bounds(pairs, points, fine))
     roots = components(done.filter("linked"))
     rows = stored(merged_blocks(_apart(rows.select(*BLOCK), roots)), "apart")
     apart = rows
@@ -445,7 +450,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pivots = apart.groupBy("key").agg(pick.alias("p"))
         more = apart.join(pivots, "key").filter("root <> p.root and n <= p.reach and p.n <= reach").select(*ordered("cls", "p.cls")).distinct()
         more = more.join(done, ["a", "b"], "left_anti")
-        found = stored(verified(docs, within_bounds(more, points, fine)), "verified")
+        found = verified(docs, signed, within_bounds(more, points, fine))
         done = done.unionByName(found)
         if found.filter("linked").limit(1).count() == 0:
             break
@@ -455,7 +460,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     while True:
         found = stored(tree_pairs(apart, fine, allowance), "found")
         more = stored(found.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        done = done.unionByName(stored(verified(docs, more), "verified"))
+        done = done.unionByName(verified(docs, signed, more))
         roots = components(done.filter("linked"))
         unfinished = found.filter("more").select("key").distinct()
         if unfinished.limit(1).count() == 0:
