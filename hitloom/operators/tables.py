@@ -7,7 +7,6 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.functions import lines
 from hitloom.session import work_dir
 
 
@@ -40,23 +39,6 @@ def known_columns(df: DataFrame, wanted) -> list[str]:
     return [c for c in dict.fromkeys(wanted) if c in df.columns]
 
 
-def available_dates(*frames: DataFrame) -> DataFrame:
-    """Distinct dates of any of the tables."""
-    dates = [f.select("date").distinct() for f in frames]
-    return union_by_name(*dates).distinct().orderBy("date")
-
-
-def missing_dates(inputs: list[DataFrame], outputs: list[DataFrame]) -> DataFrame:
-    """Dates present in all inputs but not in every output."""
-    ready = inputs[0].select("date").distinct()
-    for f in inputs[1:]:
-        ready = ready.intersect(f.select("date"))
-    done = outputs[0].select("date").distinct()
-    for f in outputs[1:]:
-        done = done.intersect(f.select("date"))
-    return ready.subtract(done).orderBy("date")
-
-
 def distinct_values(df: DataFrame, column: str, keep_empty: bool = True) -> DataFrame:
     values = df.select(F.col(column).cast("string").alias("value")).where(F.col("value").isNotNull())
     if not keep_empty:
@@ -115,8 +97,3 @@ def detail(parsed: DataFrame, date: str, ts: str, path: str | None = None, ip: s
     if ip is not None:
         df = df.where(F.col("edge_ip") == ip)
     return df.orderBy("ts_utc", "path", "edge_ip").limit(1)
-
-
-def epoch_range(df: DataFrame) -> DataFrame:
-    ms = lines.epoch_millis(F.col("ts_utc"))
-    return df.agg(F.min(ms).alias("t0"), F.max(ms).alias("t1"))

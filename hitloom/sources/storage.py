@@ -173,10 +173,3 @@ def repair_column(change: Transaction, table: str, table_schema: T.StructType, c
 
 def _date_of(file: str) -> str:
     return next(part[5:] for part in reversed(file.split("/")) if part.startswith("date="))
-
-
-def fix_column_type(df: DataFrame, column: str = "country", to: str = "string") -> DataFrame:
-    """Table with a column cast to the declared type; unchanged when it already has it."""
-    if column not in df.columns:
-        return df.withColumn(column, F.lit(None).cast(to))
-    return df.withColumn(column, F.col(column).cast(to))
