@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,6 +43,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that later stages use again would keep what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows whose texts hold ``limit`` bytes at most; one longer text comes alone."""
     for batch in batches:
@@ -52,6 +60,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = max(start + 1, int(np.searchsorted(total, before + limit, side="right")))
             yield batch.slice(start, end - start)
             start = end
+        give_back()
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 
 
 class Words:

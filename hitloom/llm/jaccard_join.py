@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from hitloom.llm.common import Words, fresh, slices, stored
+from hitloom.llm.common import Words, fresh, give_back, slices, stored
 
 SHINGLE = 5
 THRESHOLD = 75
@@ -419,8 +419,10 @@ def tree_pairs(rows: DataFrame, points: DataFrame, allowance: int) -> DataFrame:
                 if last:  # the last group may go on in the next batch
                     yield from pairs_of(t.slice(0, last))
                 waiting = t.slice(last).combine_chunks().to_batches()
+                give_back()
         if waiting:
             yield from pairs_of(pa.Table.from_batches(waiting))
+        give_back()
 
     return rows.mapInArrow(run, "a long, b long, key long, more boolean")
 
