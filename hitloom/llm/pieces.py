@@ -51,6 +51,8 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        # Whole numbers, so that sums are exact in any order: the scores if they are whole, else millionths.
+        scale = 1 if all(float(model.get_score(i)).is_integer() for i in range(model.get_piece_size())) else 1_000_000
         self.known: dict[str, tuple[int, int]] = {}
         self.bytes_of, byte_ids = [], {}
         for i in range(model.get_piece_size()):
@@ -61,10 +63,11 @@ class Pieces:
             else:
                 self.bytes_of.append(b"" if special else piece.replace(SPACE, " ").encode())
                 if not special:
-                    # Whole millionths, so that sums are exact in any order.
-                    self.known[piece] = (i, round(model.get_score(i) * 1_000_000))
+                    self.known[piece] = (i, round(model.get_score(i) * scale))
         self.byte_ids = [byte_ids[b] for b in range(256)]
-        self.unknown = min(s for _, s in self.known.values()) - UNKNOWN_COST * 1_000_000
+        self.unknown = min(s for _, s in self.known.values()) - UNKNOWN_COST * scale
+        if -self.unknown * (4 * CHUNK) >= -NEVER:
+            raise ValueError("the scores of a chunk may not fit a long")
         self.longest = max(map(len, self.known))
         lengths: dict[str, set[int]] = {}
         for piece in self.known:
@@ -257,17 +260,23 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def level(m: np.ndarray) -> np.ndarray:
+    """Stacks of matrices with their largest entries at 0: only differences decide, and these stay small."""
+    top = m.max(axis=(1, 2), keepdims=True)
+    return np.where(m <= NEVER, NEVER, m - top)
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus products of two stacks of matrices."""
+    """Max-plus products of two stacks of matrices, each with its largest entry at 0."""
     out = np.full(a.shape, NEVER, np.int64)
     for k in range(a.shape[-1]):
         np.maximum(out, a[:, :, k, None] + b[:, None, k, :], out=out)
-    return np.maximum(out, NEVER)
+    return level(np.maximum(out, NEVER))
 
 
 def prefix_products(m: np.ndarray) -> np.ndarray:
     """Entry k: the product of the matrices 0 to k, by doubling (the product is associative)."""
-    m, step = m.copy(), 1
+    m, step = level(m), 1
     while step < len(m):
         m[step:] = product(m[:-step], m[step:])
         step *= 2

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -60,6 +61,17 @@ def test_ids_do_not_depend_on_chunks(spark, chunk):
     assert [r.decoded for r in out] == [t or "" for t in TEXTS] and {r.row for r in out} == {"x"}
 
 
+def test_characters_of_no_piece_in_giant_texts():
+    """Their cost is large, and there may be very many of them: scores of chunks must neither overflow nor seem impossible."""
+    p = pieces.pieces(pieces.default_model())
+    text = pieces.shown("\u4e00\u9fff " * 3_000)
+    m = np.stack([p.transfer(text[a : a + 100 + p.longest - 1], 100) for a in range(0, 8_000, 100)])
+    many = np.concatenate([m] * 50)  # as of 400 000 characters
+    assert (pieces.prefix_products(many)[:, 0, :].max(axis=1) > pieces.NEVER // 4).all()
+    best, last = p.forward(text, len(text), [0])
+    assert last[len(text)] > 0 and best[len(text)] > pieces.NEVER // 4
+
+
 def test_digest_and_empty_table(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     rows = pieces.digest(docs).collect()
