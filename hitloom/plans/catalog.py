@@ -347,6 +347,23 @@ def report(name: str, source: str, *args, round_columns=(), dates=None, **kwargs
     return run
 
 
+def period_ranges(spark, sf):
+    """The default, last-14 and comparison ranges of the requests, with their hits.
+
+    The ranges come from the commit, and only their dates are read.
+    """
+    w = partly_filled(spark, sf)
+    cur_from, cur_to, prev_from, prev_to = w.comparison()
+    ranges = {"default7": w.default_range(), "last14": w.last_days(14), "current": (cur_from, cur_to), "previous": (prev_from, prev_to)}
+    labels = F.filter(F.array(*[
+        F.when(F.col("date").between(*r), F.struct(F.lit(n).alias("period"), F.lit(r[0]).cast("string").alias("date_from"),
+                                                   F.lit(r[1]).cast("string").alias("date_to"))) for n, r in ranges.items()
+    ]), lambda x: x.isNotNull())
+    dates = {d for r in ranges.values() if r[0] for d in periods.date_list(*r)}
+    days = w.parsed(sorted(dates)).groupBy("date").agg(F.count("*").alias("n"))
+    return days.select(F.inline(labels), "n").groupBy("period", "date_from", "date_to").agg(F.sum("n").alias("hits"))
+
+
 def period(ranges: Callable[[Warehouse], dict[str, tuple[str, str]]]) -> Query:
     """Hits of named ranges; the ranges come from the commit, and only their dates are read."""
 
@@ -590,7 +607,7 @@ def queries() -> dict[str, Query]:
         "suggest_values": lambda s, d: tables.suggest_values(parsed(s, d), "bot_family", "BOT", 5),
         "suggest_values_index": suggest_values_index,
         # Reports.
-        "period_default7": period(lambda w: {"default7": w.default_range()}),
+        "period_default7": period_ranges,
         "period_last_n": period(lambda w: {"last14": w.last_days(14)}),
         "period_compare": period(lambda w: dict(zip(("current", "previous"), (lambda c: (c[:2], c[2:]))(w.comparison())))),
         "trend_pct": trend_pct,
