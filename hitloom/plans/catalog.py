@@ -608,7 +608,7 @@ def queries() -> dict[str, Query]:
         "suggest_values_index": suggest_values_index,
         # Reports.
         "period_default7": period_ranges,
-        "period_last_n": period(lambda w: {"last14": w.last_days(14)}),
+        "period_last_n": period_ranges,
         "period_compare": period(lambda w: dict(zip(("current", "previous"), (lambda c: (c[:2], c[2:]))(w.comparison())))),
         "trend_pct": trend_pct,
         "summary_kpis": report("summary_kpis", "daily", CURRENT, PREVIOUS),

@@ -571,7 +571,7 @@ def oracle_sql() -> dict[str, str]:
         "suggest_values_index": "SELECT DISTINCT bot_family AS value FROM parsed WHERE lower(bot_family) LIKE '%bot%' ORDER BY value LIMIT 5",
         "unique_visitors_sketch": "SELECT url_group, COUNT(DISTINCT edge_ip) AS unique_ips, TRUE AS within_bound FROM parsed WHERE date BETWEEN '2024-01-05' AND '2024-01-20' GROUP BY url_group",
         "period_default7": PERIODS,
-        "period_last_n": f"SELECT * FROM ({PERIODS}) q WHERE period = 'last14'",
+        "period_last_n": PERIODS,
         "period_compare": f"SELECT * FROM ({PERIODS}) q WHERE period IN ('current', 'previous')",
         **reports(),
         **{f"preset_{k.replace('-', '_')}": v for k, v in PRESETS.items()},
