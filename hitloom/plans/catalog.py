@@ -364,18 +364,6 @@ def period_ranges(spark, sf):
     return days.select(F.inline(labels), "n").groupBy("period", "date_from", "date_to").agg(F.sum("n").alias("hits"))
 
 
-def period(ranges: Callable[[Warehouse], dict[str, tuple[str, str]]]) -> Query:
-    """Hits of named ranges; the ranges come from the commit, and only their dates are read."""
-
-    def run(spark, sf):
-        w = partly_filled(spark, sf)
-        parts = [w.parsed(periods.date_list(*r)).agg(F.count("*").alias("hits")).select(
-            F.lit(name).alias("period"), F.lit(r[0]).alias("date_from"), F.lit(r[1]).alias("date_to"), "hits") for name, r in ranges(w).items()]
-        return tables.union_by_name(*parts)
-
-    return run
-
-
 def trend_pct(spark, sf):
     return reports.with_trend(table(spark, sf, "locale_daily"), "locale", ["hits", "hits_human"], CURRENT, PREVIOUS)
 
@@ -609,7 +597,7 @@ def queries() -> dict[str, Query]:
         # Reports.
         "period_default7": period_ranges,
         "period_last_n": period_ranges,
-        "period_compare": period(lambda w: dict(zip(("current", "previous"), (lambda c: (c[:2], c[2:]))(w.comparison())))),
+        "period_compare": period_ranges,
         "trend_pct": trend_pct,
         "summary_kpis": report("summary_kpis", "daily", CURRENT, PREVIOUS),
         "issue_404": report("issue_404", "top_4xx_daily"),

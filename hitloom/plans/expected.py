@@ -572,7 +572,7 @@ def oracle_sql() -> dict[str, str]:
         "unique_visitors_sketch": "SELECT url_group, COUNT(DISTINCT edge_ip) AS unique_ips, TRUE AS within_bound FROM parsed WHERE date BETWEEN '2024-01-05' AND '2024-01-20' GROUP BY url_group",
         "period_default7": PERIODS,
         "period_last_n": PERIODS,
-        "period_compare": f"SELECT * FROM ({PERIODS}) q WHERE period IN ('current', 'previous')",
+        "period_compare": PERIODS,
         **reports(),
         **{f"preset_{k.replace('-', '_')}": v for k, v in PRESETS.items()},
         **{f"view_{k.replace('-', '_')}": grouped("url_group", where=v) for k, v in VIEWS.items()},

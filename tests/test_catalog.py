@@ -19,14 +19,14 @@ def events(spark, folder, days, per_day=20):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["period_default7", "period_last_n"])
+@pytest.mark.parametrize("name", ["period_default7", "period_last_n", "period_compare"])
 def test_every_period_query_gives_all_ranges(spark, tmp_path, name):
     found = {tuple(r) for r in catalog.queries()[name](spark, events(spark, tmp_path, 16)).select("period", "date_from", "date_to", "hits").collect()}
     assert found == {("default7", "2024-01-10", "2024-01-16", 140), ("last14", "2024-01-03", "2024-01-16", 280),
                      ("current", "2024-01-10", "2024-01-16", 140), ("previous", "2024-01-03", "2024-01-09", 140)}
 
 
-@pytest.mark.parametrize("name", ["period_default7", "period_last_n"])
+@pytest.mark.parametrize("name", ["period_default7", "period_last_n", "period_compare"])
 def test_a_range_without_requests_has_no_row(spark, tmp_path, name):
     found = {tuple(r) for r in catalog.queries()[name](spark, events(spark, tmp_path, 3)).select("period", "date_from", "hits").collect()}
     assert found == {("default7", "2024-01-01", 60), ("last14", "2023-12-21", 60), ("current", "2023-12-28", 60)}
