@@ -55,6 +55,11 @@ def parsed(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.parse_log(raw_lines(session.tune(spark), sf), RULES)
 
 
+def lines_by_date(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw lines gathered by date before they are parsed: even tasks whatever the row groups, few files per date."""
+    return storage.by_date(raw_lines(session.tune(spark), sf))
+
+
 def request_fields(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.parse_lines(raw_lines(session.tune(spark), sf))
 
@@ -183,19 +188,31 @@ def src_emptied_files(spark, sf):
     return status.select(F.col("log_date").alias("date"), "status").distinct()
 
 
+def loaded(spark, sf) -> Warehouse:
+    """A warehouse of the derived requests; written once per session."""
+    key = (spark.sparkContext.applicationId, sf, "loaded")
+    if key not in _written:
+        path = fresh_dir(spark)
+        Warehouse(spark, path, RULES).load_parsed(lines_by_date(spark, sf))
+        _written[key] = path
+    return Warehouse(spark, _written[key], RULES)
+
+
 def partly_filled(spark, sf) -> Warehouse:
-    """A warehouse of the derived tables whose search tables end early; written once per session."""
+    """A warehouse of the derived tables whose search tables end early; written once per session.
+
+    The search tables are built from the stored requests and search data, so no line is parsed for them again.
+    """
     key = (spark.sparkContext.applicationId, sf, "warehouse")
     if key not in _written:
-        path = fresh_dir(spark)
-        w = Warehouse(spark, path, RULES)
+        w = loaded(spark, sf)
         with w.change() as change:
-            change.write("parsed", parsed(spark, sf))
-            change.write("search_perf", search_perf(spark, sf))
+            change.write("search_perf", schema.conform(search_perf(spark, sf), schema.SEARCH_PERF))
             change.write("files", storage.ingested_files(storage.list_raw(spark, raw_folder(spark, sf)).where(F.col("log_date") < "2024-01-21")))
-            change.write("aggregates/gsc_daily", table(spark, sf, "gsc_daily").where(F.col("date") < MIDDLE))
-            change.write("aggregates/gsc_bot_daily", table(spark, sf, "gsc_bot_daily").where(F.col("date") < "2024-01-18"))
-        _written[key] = path
+            for name, end in (("gsc_daily", MIDDLE), ("gsc_bot_daily", "2024-01-18")):
+                rows = getattr(search_join, name)(w.parsed(), w.search_perf())
+                change.write(f"aggregates/{name}", rows.where(F.col("date") < end))
+        _written[key] = w.root
     return Warehouse(spark, _written[key], RULES)
 
 

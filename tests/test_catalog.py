@@ -30,3 +30,17 @@ def test_every_period_query_gives_all_ranges(spark, tmp_path, name):
 def test_a_range_without_requests_has_no_row(spark, tmp_path, name):
     found = {tuple(r) for r in catalog.queries()[name](spark, events(spark, tmp_path, 3)).select("period", "date_from", "hits").collect()}
     assert found == {("default7", "2024-01-01", 60), ("last14", "2023-12-21", 60), ("current", "2023-12-28", 60)}
+
+
+@pytest.fixture
+def parses(monkeypatch):
+    """A list that grows by one with every parse that a query plans."""
+    calls, parse = [], catalog.enrich.parse_lines
+    monkeypatch.setattr(catalog.enrich, "parse_lines", lambda raw: calls.append(1) or parse(raw))
+    return calls
+
+
+def test_the_search_tables_come_from_stored_requests(spark, tmp_path, parses):
+    found = catalog.queries()["cov_backfill_missing"](spark, events(spark, tmp_path, 18))
+    assert [r[0] for r in found.collect()] == ["2024-01-15", "2024-01-16", "2024-01-17", "2024-01-18"]
+    assert len(parses) == 1
