@@ -582,7 +582,7 @@ def queries() -> dict[str, Query]:
                                                   columns=("bytes_sent", "status", "method"))),
         "rows_count": shaped(query.rows_count, QuerySpec(filters=FilterSpec(search="status:404"))),
         "rows_nth": rows_nth,
-        "rows_page_deep": lambda s, d: query.rows(parsed(s, d), QuerySpec(
+        "rows_page_deep": lambda s, d: query.rows(loaded(s, d).parsed(), QuerySpec(
             page=14, per_page=50, sort="bytes_sent", columns=("bytes_sent", "status", "method")), shallow_rows=0),
     })
     q.update({name: filtered(spec) for name, spec in FILTERS.items()})

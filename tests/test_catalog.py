@@ -44,3 +44,9 @@ def test_the_search_tables_come_from_stored_requests(spark, tmp_path, parses):
     found = catalog.queries()["cov_backfill_missing"](spark, events(spark, tmp_path, 18))
     assert [r[0] for r in found.collect()] == ["2024-01-15", "2024-01-16", "2024-01-17", "2024-01-18"]
     assert len(parses) == 1
+
+
+def test_a_deep_page_counts_stored_requests(spark, tmp_path, parses):
+    found = catalog.queries()["rows_page_deep"](spark, events(spark, tmp_path, 18, per_day=40))
+    assert [r.bytes_sent for r in found.collect()] == sorted((i * 25 for i in range(720)), reverse=True)[650:700]
+    assert len(parses) == 1 and all("/parsed/version=" in f for f in found.inputFiles())
