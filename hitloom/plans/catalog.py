@@ -167,9 +167,9 @@ def fix_country_type(spark, sf):
     """Files with whole-number countries among text ones, repaired in place."""
     w = Warehouse(spark, fresh_dir(spark), RULES)
     with w.change() as change:
-        early = parsed(spark, sf).where(F.col("date") < MIDDLE)
+        w.load_parsed(lines_by_date(spark, sf))
+        early = w.parsed([d for d in w.dates() if d < MIDDLE])
         change.write("parsed", early.withColumn("country", F.length("country")))
-        change.write("parsed", parsed(spark, sf).where(F.col("date") >= MIDDLE))
     w.fix_country_type()
     return count_by(w.parsed(), "country")
 

@@ -50,3 +50,9 @@ def test_a_deep_page_counts_stored_requests(spark, tmp_path, parses):
     found = catalog.queries()["rows_page_deep"](spark, events(spark, tmp_path, 18, per_day=40))
     assert [r.bytes_sent for r in found.collect()] == sorted((i * 25 for i in range(720)), reverse=True)[650:700]
     assert len(parses) == 1 and all("/parsed/version=" in f for f in found.inputFiles())
+
+
+def test_countries_are_repaired_after_one_parse(spark, tmp_path, parses):
+    found = catalog.queries()["fix_country_type"](spark, events(spark, tmp_path, 18))
+    assert {r.country for r in found.collect()} == {"2", "US", "JP", "DE", "FR", None}
+    assert found.groupBy().sum("n").first()[0] == 360 and len(parses) == 1
