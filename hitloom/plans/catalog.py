@@ -142,9 +142,9 @@ def src_date_range_rebuild(spark, sf):
 
 
 def sink_parsed(spark, sf):
-    path = fresh_dir(spark)
-    storage.replace_partitions(parsed(spark, sf), path)
-    late = parsed(spark, sf).where((F.col("date") >= MIDDLE) & ~F.col("is_bot"))
+    path, requests = fresh_dir(spark), loaded(spark, sf).parsed()
+    storage.replace_partitions(requests, path)
+    late = requests.where((F.col("date") >= MIDDLE) & ~F.col("is_bot"))
     storage.replace_partitions(late, path)  # replaces the later dates only
     stored = storage.read_table(spark, path, schema.PARSED)
     return stored.groupBy("date").agg(F.count("*").alias("hits"), F.sum("bytes_sent").alias("bytes_sent"))

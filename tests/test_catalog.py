@@ -56,3 +56,9 @@ def test_countries_are_repaired_after_one_parse(spark, tmp_path, parses):
     found = catalog.queries()["fix_country_type"](spark, events(spark, tmp_path, 18))
     assert {r.country for r in found.collect()} == {"2", "US", "JP", "DE", "FR", None}
     assert found.groupBy().sum("n").first()[0] == 360 and len(parses) == 1
+
+
+def test_both_writes_of_a_sink_share_one_parse(spark, tmp_path, parses):
+    found = catalog.queries()["sink_parsed"](spark, events(spark, tmp_path, 18))
+    hits = {r.date: r.hits for r in found.collect()}
+    assert len(hits) == 18 and hits["2024-01-14"] == 20 and hits["2024-01-15"] < 20 and len(parses) == 1
