@@ -19,6 +19,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 #: Text bytes that a Python worker handles at once.
 SLICE_BYTES = 4 << 20
+#: Rows of an Arrow batch where rows are texts; the executor and its worker hold several batches each.
+BATCH_ROWS, BATCH_SETTING = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -43,6 +45,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session have BATCH_ROWS rows at most."""
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def give_back() -> None:
     """Return freed memory to the system: a worker that later stages use again would keep what its largest batch took."""
     pa.default_memory_pool().release_unused()
@@ -50,10 +58,10 @@ def give_back() -> None:
         _trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows whose texts hold ``limit`` bytes at most; one longer text comes alone."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, length: Callable = pc.binary_length) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows whose texts hold ``limit`` bytes at most (or what ``length`` counts); one longer text comes alone."""
     for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        size = pc.fill_null(length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         total, start = np.cumsum(size, dtype=np.int64), 0
         while start < batch.num_rows:
             before = total[start - 1] if start else 0

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from hitloom.llm.common import fresh, slices, stored, unsigned_crc32
+from hitloom.llm.common import fresh, slices, small_batches, stored, unsigned_crc32
 
 CHUNK = 1 << 16
 CHUNKS_PER_TASK = 4
@@ -35,6 +35,10 @@ SPACE = "▁"
 UNKNOWN_COST = 10
 #: Words up to this length are encoded together, longer ones one by one.
 WORD_CHARS = 64
+#: Characters of words, text bytes and ids that a worker handles at once: what it holds besides the batch grows with these.
+CHARS_AT_ONCE, BYTES_AT_ONCE, IDS_AT_ONCE = 1 << 16, 2 << 20, 1 << 19
+#: Ids that a worker remembers, with their words, from one run of texts to the next; beyond that it starts anew.
+IDS_REMEMBERED = 1 << 21
 NEVER = -(1 << 60)
 
 
@@ -76,9 +80,15 @@ class Pieces:
         if any(SPACE in p.lstrip(SPACE) for p in self.known):
             raise ValueError("a piece goes on past the start of a run of spaces")
         self._grow()
+        self._forget()
+
+    def _forget(self) -> None:
+        """The remembered words, with the place of their ids in one array and how many they are."""
+        self._seen, self._seen_ids = pa.array([], pa.string()), np.zeros(0, np.int32)
+        self._seen_at, self._seen_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _grow(self) -> None:
-        """The pieces as a tree of characters in arrays: sorted (node, character) keys and the nodes they lead to."""
+        """The pieces as a tree of characters in arrays: (node, character) keys in a hash table and the nodes they lead to."""
         nodes: dict[tuple[int, int], int] = {}
         piece, score = [-1], [0]
         for text, (i, value) in self.known.items():
@@ -92,10 +102,36 @@ class Pieces:
                 at = nodes[step]
             piece[at], score[at] = i, value
         steps = sorted(nodes)
-        self._keys = np.array([n << 21 | c for n, c in steps], np.int64)
-        self._next = np.array([nodes[x] for x in steps], np.int64)
+        keys, leads = np.array([n << 21 | c for n, c in steps], np.int64), np.array([nodes[x] for x in steps], np.int64)
+        self._bits = max(10, len(steps).bit_length() + 2)
+        self._keys, self._next = np.full(1 << self._bits, -1, np.int64), np.zeros(1 << self._bits, np.int64)
+        slot, self._probes = self._slot(keys), 0
+        while len(keys):
+            free = np.flatnonzero(self._keys[slot] < 0)
+            free = free[np.unique(slot[free], return_index=True)[1]]
+            self._keys[slot[free]], self._next[slot[free]] = keys[free], leads[free]
+            left = np.delete(np.arange(len(keys)), free)
+            keys, leads, slot = keys[left], leads[left], (slot[left] + 1) & (len(self._keys) - 1)
+            self._probes += 1
         self._piece, self._score = np.array(piece, np.int64), np.array(score, np.int64)
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def _find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slots of the keys, and which are there: a key lies in the first slot of its own on that was free."""
+        place = self._slot(key)
+        there = self._keys[place]
+        hit, open_ = there == key, np.flatnonzero((there != key) & (there >= 0))
+        for _ in range(1, self._probes):
+            if not len(open_):
+                break
+            place[open_] = (place[open_] + 1) & (len(self._keys) - 1)
+            there = self._keys[place[open_]]
+            hit[open_] = there == key[open_]
+            open_ = open_[(there != key[open_]) & (there >= 0)]
+        return place, hit
+
     def lattice(self, chars: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All pieces that begin at a character and end within its room: start, length, id and score.
 
@@ -106,9 +142,7 @@ class Pieces:
         for n in range(1, self.longest + 1):
             fits = room[at] >= n
             at, node = at[fits], node[fits]
-            key = node << 21 | chars[at + n - 1]
-            place = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-            hit = self._keys[place] == key
+            place, hit = self._find(node << 21 | chars[at + n - 1])
             if n == 1:
                 lost = at[~hit | (self._piece[self._next[place]] < 0)]
                 found.append((lost, np.ones(len(lost), np.int64), np.full(len(lost), -1), np.full(len(lost), self.unknown)))
@@ -118,8 +152,29 @@ class Pieces:
         return tuple(np.concatenate(x) for x in zip(*found))
 
     def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words one after the other, and the offsets of each word's."""
-        sizes = np.array([len(w) for w in words], np.int64)
+        """The ids of all words one after the other, and the offsets of each word's; runs of words at a time."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        runs = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // CHARS_AT_ONCE)) + 1
+        parts = [self._run_ids(words[a:b], sizes[a:b]) for a, b in zip([0, *runs.tolist()], [*runs.tolist(), len(words)])]
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in parts]))])
+
+    def known_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An array of ids, and where in it the ids of each of the words begin and how many they are."""
+        place = pc.index_in(words, value_set=self._seen)
+        new = words.filter(place.is_null())
+        flat, offsets = self.word_ids(new.to_pylist())
+        ids, at = np.concatenate([self._seen_ids, flat]), np.concatenate([self._seen_at, len(self._seen_ids) + offsets[:-1]])
+        n = np.concatenate([self._seen_n, np.diff(offsets)])
+        where = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        where[where < 0] = len(self._seen) + np.arange(len(new))
+        if len(ids) > IDS_REMEMBERED:
+            self._forget()
+        else:
+            self._seen, self._seen_ids, self._seen_at, self._seen_n = pa.concat_arrays([self._seen, new]), ids, at, n
+        return ids, at[where], n[where]
+
+    def _run_ids(self, words: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words one after the other, and how many each has."""
         together = np.flatnonzero(sizes <= WORD_CHARS)
         chars = np.frombuffer("".join(words[i] for i in together.tolist()).encode("utf-32-le"), np.uint32).astype(np.int64)
         size = sizes[together]
@@ -171,7 +226,7 @@ class Pieces:
             flat[place[some] + k] = ids[some, k]
         for i, found in alone.items():
             flat[offsets[i] : offsets[i + 1]] = found
-        return flat, offsets
+        return flat, counts
 
     def steps(self, text: str, p: int) -> list[tuple[int, int]]:
         """Lengths and scores of the pieces at a place, shortest first; the single character always is one."""
@@ -219,17 +274,17 @@ class Pieces:
         split = [WORD.findall(shown(t)) if t else [] for t in texts]
         coded = pa.array([w for words in split for w in words], pa.string()).dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        flat, offsets = self.word_ids(coded.dictionary.to_pylist())
-        sizes = np.diff(offsets)[codes]
+        flat, start, n = self.known_ids(coded.dictionary)
+        sizes = n[codes]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = flat[np.repeat(offsets[codes] - ends[:-1], sizes) + np.arange(ends[-1])]
+        ids = flat[np.repeat(start[codes] - ends[:-1], sizes) + np.arange(ends[-1])]
         of_text = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
         return pa.ListArray.from_arrays(pa.array(ends[of_text].astype(np.int32)), pa.array(ids, pa.int32()))
 
     def decode(self, ids: pa.Array) -> list[str]:
         """The texts of lists of ids. Ids of no piece count as nothing; bytes that are no UTF-8 become the replacement character."""
-        offsets, values = ids.offsets.to_numpy().astype(np.int64), ids.values.fill_null(-1).to_numpy(zero_copy_only=False)
-        values = values[offsets[0] : offsets[-1]]
+        offsets = ids.offsets.to_numpy().astype(np.int64)
+        values = ids.values.slice(offsets[0], offsets[-1] - offsets[0]).fill_null(-1).to_numpy(zero_copy_only=False)
         known = np.where((values >= 0) & (values < len(self.bytes_of)), values, len(self.bytes_of))
         parts = pa.array([*self.bytes_of, b""], pa.binary()).take(pa.array(known))
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), parts), b"")
@@ -349,11 +404,12 @@ def encode(docs: DataFrame, text_column: str = "text", output: str = "ids", mode
     holds the noncharacter U+FDD0, which comes back as U+2581.
     """
     model = model or default_model()
+    small_batches(docs.sparkSession)
     row, long_ids = fresh("row", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(iter([whole]), text_column):
+            for batch in slices(iter([whole]), text_column, BYTES_AT_ONCE):
                 ids = pieces(model).encode(batch.column(text_column).to_pylist())
                 names = [c for c in batch.schema.names if c != output]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), ids], [*names, output])
@@ -372,9 +428,10 @@ def encode(docs: DataFrame, text_column: str = "text", output: str = "ids", mode
 def decode(df: DataFrame, ids_column: str = "ids", output: str = "decoded", model: str | None = None) -> DataFrame:
     """All rows and columns, and ``output``: the text of the ids. Null ids give an empty text."""
     model = model or default_model()
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ids_column, IDS_AT_ONCE, pc.list_value_length):
             lists = batch.column(ids_column)
             texts = pieces(model).decode(pc.if_else(lists.is_valid(), lists, pa.scalar([], lists.type)) if lists.null_count else lists)
             names = [c for c in batch.schema.names if c != output]

@@ -1,13 +1,17 @@
 """Encoding against a plain best-path search over the whole text, chunked or not, and exact round trips."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 from hitloom.llm import pieces
+from hitloom.llm.common import slices
 
 RANDOM = random.Random(5)
 TEXTS = [
@@ -77,3 +81,30 @@ def test_digest_and_empty_table(spark):
     rows = pieces.digest(docs).collect()
     assert len(rows) == len(TEXTS) and all(r.round_trip for r in rows)
     assert pieces.digest(docs.filter(F.lit(False))).collect() == []
+
+
+def test_memory_of_large_batches():
+    """What encoding and decoding hold at once does not grow with the words of a batch: a Spark batch has up to 10 000 rows."""
+    rows = [" ".join("".join(RANDOM.choice("abcehilnorst") for _ in range(9)) for _ in range(2_000)) for _ in range(100)]
+    p = pieces.pieces(pieces.default_model())
+    words = sorted({w for t in rows for w in pieces.WORD.findall(pieces.shown(t))})
+    tracemalloc.start()
+    flat, offsets = p.word_ids(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    for i in range(0, len(words), 20_011):
+        assert flat[offsets[i] : offsets[i + 1]].tolist() == p.word(words[i])
+    batch = pa.RecordBatch.from_pydict({"ids": p.encode([*rows, None, "a" * 900])})
+    parts = list(slices(iter([batch]), "ids", 30_000, pc.list_value_length))
+    assert pa.concat_arrays([x.column(0) for x in parts]).equals(batch.column(0)) and len(parts) > 10
+    assert [t for x in parts for t in p.decode(x.column(0))] == [*rows, "", "a" * 900]
+
+
+@pytest.mark.parametrize("limit", [0, 900, pieces.IDS_REMEMBERED])
+def test_ids_do_not_depend_on_remembered_words(monkeypatch, limit):
+    monkeypatch.setattr(pieces, "IDS_REMEMBERED", limit)
+    p = pieces.Pieces(pieces.default_model())
+    for texts in (TEXTS[:7], TEXTS, TEXTS[::-1], [None]):
+        assert p.encode(texts).to_pylist() == [best_path(t) for t in texts]
+    assert len(p._seen_ids) <= limit and (len(p._seen) > 50) == (limit > 900)
