@@ -19,6 +19,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 #: Text bytes that a Python worker handles at once.
 SLICE_BYTES = 4 << 20
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of an Arrow batch where rows are texts; the executor and its worker hold several batches each.
 BATCH_ROWS, BATCH_SETTING = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -39,9 +40,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared work folder and read back: later stages survive the loss of executors."""
+    """The rows written to the shared work folder and read back: later stages survive the loss of executors.
+
+    What the write shuffled is needed no more and goes at once, not when the driver happens to collect garbage.
+    """
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, "false")
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,9 @@ component in the first step, so their pairs are never written out.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from hitloom.llm.common import Words, fresh, give_back, slices, stored
+from hitloom.llm.common import SLICE_BYTES, Words, fresh, give_back, slices, stored
 
 SHINGLE = 5
 THRESHOLD = 75
@@ -43,6 +45,8 @@ TILE_ROWS = 4096
 LEAF = 16
 #: While the trees would compare more rows with each row than this, further pivots are tried first, as long as they link anything.
 PAIRS_PER_ROW, MAX_PIVOT_ROUNDS = 1_000, 8
+#: The keys are dealt in so many turns, so that only a part of them lies shuffled on disk at a time.
+BLOCK_TURNS = 4
 #: Pairs that a row of a tile gives at first, and how that grows while any row had more; a tile's rows end the growth.
 FIRST_ALLOWANCE, ALLOWANCE_STEP = 4, 64
 PAIRS_PER_BATCH = 100_000
@@ -74,11 +78,13 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
 
 def point_of(s: np.ndarray, groups: int) -> bytes:
     counts = np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups)
-    return np.minimum(counts, FULL).astype(np.uint8).tobytes()
+    packer = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    return packer.compress(np.minimum(counts, FULL).astype(np.uint8).tobytes()) + packer.flush()
 
 
 def points_of(column: pa.Array | pa.ChunkedArray, groups: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, groups)
+    """The counts of points, which are stored and shuffled packed: small counts take two bits or so, not a byte."""
+    return np.frombuffer(b"".join(zlib.decompress(x, -15, groups) for x in column.to_pylist()), np.uint8).reshape(-1, groups)
 
 
 def folded(points: np.ndarray, groups: int) -> np.ndarray:
@@ -171,12 +177,13 @@ def reach_of(n, pos):
 BLOCK = {"key": "long", "cls": "long", "n": "int", "reach": "int"}
 
 
-def blocks(signed: DataFrame) -> DataFrame:
-    """key, cls, n, reach and those of the pivot (the block's first class), of all blocks with two classes or more.
+def blocks(signed: DataFrame, turn: int) -> DataFrame:
+    """key, cls, n, reach and those of the pivot (the block's first class), of the blocks of a turn with two classes or more.
 
     The rows are sorted by key, and a task reads them as a stream, so a block of any size takes no memory.
     """
     rows = signed.filter(F.col("keys").isNotNull()).select("cls", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key"))
+    rows = rows.filter(F.pmod("key", F.lit(BLOCK_TURNS)) == turn)
     rows = rows.select("key", "cls", "n", reach_of(F.col("n"), F.col("pos")).alias("reach"))
     rows = rows.repartition("key").sortWithinPartitions("key", "cls")
 
@@ -284,7 +291,7 @@ def bounded(pairs: DataFrame, points: DataFrame, groups: int = GROUPS) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(iter([whole]), "p_a"):
+            for batch in slices(iter([whole]), "p_a", SLICE_BYTES // 8):
                 p, q = (points_of(batch.column(c), groups) for c in ("p_a", "p_b"))
                 ok = may_link(most_common(p, q), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
@@ -431,7 +438,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The signatures of all rows, and the root of every class that is linked with another."""
     signed = stored(signatures(docs), "signatures")
     classes = signed.filter("point is not null").groupBy("cls").agg(F.any_value("n").alias("n"), F.any_value("point").alias("point"), F.any_value("fine").alias("fine"))
-    rows = stored(blocks(signed), "blocks")
+    rows = reduce(DataFrame.unionByName, [stored(blocks(signed, turn), "blocks") for turn in range(BLOCK_TURNS)])
     wanted = rows.select("cls").distinct()
     points = stored(classes.join(wanted, "cls", "left_semi"), "points")
     fine = points.select("cls", "n", F.col("fine").alias("point"))

@@ -1,10 +1,16 @@
 """The Jaccard join where groups are dense, and what the near-duplicate stage keeps."""
 
 import random
+import time
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from hitloom.llm import jaccard_join
+from hitloom.llm.common import SHUFFLE_CLEANUP, stored
 
 
 def family(seed: int, n: int, edits: int) -> list[str]:
@@ -66,3 +72,38 @@ def test_one_of_each_keeps_unlinked_texts_whatever_their_ids(spark):
     want = [(5, a + " end"), (5, b), (None, c), (5, d), (8, None), (8, ""), (8, ""), (None, " ")]
     assert sorted(map(str, [(r.doc_id, r.text) for r in got.collect()])) == sorted(map(str, want))
     assert jaccard_join.one_of_each(df.limit(0)).collect() == []
+
+
+def test_points_are_packed_and_read_back():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 40, 550, 5_000)] + [np.arange(300, dtype=np.uint64) << np.uint64(10)]
+    for groups in (jaccard_join.GROUPS, jaccard_join.FINE_GROUPS):
+        packed = [jaccard_join.point_of(s, groups) for s in sets]
+        plain = [np.minimum(np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups), jaccard_join.FULL) for s in sets]
+        assert (jaccard_join.points_of(pa.array(packed, pa.binary()), groups) == np.array(plain)).all()
+        assert len(packed[2]) < groups / 2.5
+
+
+def test_blocks_do_not_depend_on_turns(spark, monkeypatch, texts):
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    signed = stored(jaccard_join.signatures(df), "signatures")
+    parts = [[tuple(r) for r in jaccard_join.blocks(signed, turn).collect()] for turn in range(jaccard_join.BLOCK_TURNS)]
+    monkeypatch.setattr(jaccard_join, "BLOCK_TURNS", 1)
+    assert sorted(r for p in parts for r in p) == sorted(tuple(r) for r in jaccard_join.blocks(signed, 0).collect())
+    assert len(parts) > 1 and max(map(len, parts)) < 0.5 * sum(map(len, parts))
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {p.name for d in disk.localDirs() for p in Path(d.getPath()).rglob("shuffle_*")}
+
+    before, setting = files(), spark.conf.get(SHUFFLE_CLEANUP)
+    df = spark.range(20_000).groupBy((F.col("id") % 5_000).alias("k")).agg(F.sum("id").alias("s"))
+    rows = stored(df.join(spark.range(5_000).repartition(3, "id"), F.col("k") == F.col("id")), "cleaned")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(SHUFFLE_CLEANUP) == setting
+    assert rows.count() == 5_000 and df.count() == 5_000
