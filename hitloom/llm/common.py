@@ -22,6 +22,8 @@ SLICE_BYTES = 4 << 20
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of an Arrow batch where rows are texts; the executor and its worker hold several batches each.
 BATCH_ROWS, BATCH_SETTING = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of such a batch, where rows of numbers and words are to come in larger batches all the same.
+BATCH_BYTES, BYTES_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -61,6 +63,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
 
+def light_batches(spark: SparkSession) -> None:
+    """From now on an Arrow batch of this session ends with the row that brings it to BATCH_BYTES."""
+    spark.conf.set(BYTES_SETTING, str(BATCH_BYTES))
+
+
+def kept_by_worker(key: str, make: Callable[[], object]) -> object:
+    """What ``make`` returns, kept by a Python worker until another key is asked for.
+
+    Workers serve one stage after another; with a place for each operator they would hold the tables of all of them.
+    """
+    if key not in _kept:
+        _kept.clear()
+        give_back()
+        _kept[key] = make()
+    return _kept[key]
+
+
+_kept: dict[str, object] = {}
+
+
 def give_back() -> None:
     """Return freed memory to the system: a worker that later stages use again would keep what its largest batch took."""
     pa.default_memory_pool().release_unused()

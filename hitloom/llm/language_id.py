@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.llm.common import Words, held_out, slices, stored
+from hitloom.llm.common import Words, held_out, kept_by_worker, light_batches, slices, stored
 
 #: Longest piece in bytes: a piece is one unsigned 64-bit number.
 PIECE_BYTES = 8
@@ -28,8 +28,10 @@ WORD_BYTES = 48
 MAX_DOCUMENTS = 1500
 ROUNDS = 4
 SMOOTHING = 0.01
-CACHED_WORDS = 500_000
-TEXT_BYTES = 16 << 20
+#: Words whose scores a Python worker remembers. Most words that a text has once come never again.
+CACHED_WORDS = 100_000
+#: Text bytes scored at once: every word of them takes some 50 bytes a language meanwhile.
+TEXT_BYTES = 2 << 20
 UNDETERMINED = "und"
 
 
@@ -173,6 +175,7 @@ class Model:
 
 def train(docs: DataFrame, learn, vocabulary: str | None = None) -> Model:
     """Learn from the rows with a language that ``learn`` (a Column over doc_id) admits."""
+    light_batches(docs.sparkSession)
     pieces = read_pieces(vocabulary or default_vocabulary())
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & learn(F.col("doc_id")))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -244,15 +247,9 @@ class Scorer:
         return ends[words.offsets[1:]] - ends[words.offsets[:-1]]
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _predictor(shared, name: str):
     """A function from texts to languages and scores; one scorer per model and Python worker."""
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Scorer(shared.value)
-    scorer = _scorers[name]
+    scorer = kept_by_worker(f"language {name}", lambda: Scorer(shared.value))
 
     def predict(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         languages = np.array([*scorer.model.languages, UNDETERMINED], object)
@@ -272,6 +269,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of every text: one narrow pass. Ties go to the language first in the alphabet."""
     import uuid
 
+    light_batches(docs.sparkSession)
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,15 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.llm.common import Words, slices, stored
+from hitloom.llm.common import Words, kept_by_worker, light_batches, slices, stored
 
 CAPACITY = 2048
 END_ID = 0
 GROUP_ROWS = 32_000
 #: Words whose ids a Python worker remembers.
-CACHED_WORDS = 1_000_000
-#: Text bytes tokenized at once: a word that repeats among them is looked up once.
-TEXT_BYTES = 16 << 20
+CACHED_WORDS = 200_000
+#: Text bytes tokenized at once: a word that repeats among them is looked up once, every id takes some 30 bytes meanwhile.
+TEXT_BYTES = 2 << 20
 
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, row_key long"
 PACKED = "doc_id {id}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -93,14 +93,9 @@ class WordIds:
         return flat[at], ends[words.offsets[1:]]
 
 
-_loaded: dict[str, WordIds] = {}
-
-
 def _word_ids(path: str) -> WordIds:
     """One per Python worker, kept between tasks."""
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+    return kept_by_worker(f"ids {path}", lambda: WordIds(path))
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -108,6 +103,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str | None = None, capacity: int
 
     ``row_key`` is the place of the row in its task; with ``with_ids`` a column ``ids`` holds the ids of the piece.
     """
+    light_batches(docs.sparkSession)
     path = tokenizer_path or default_tokenizer()
     schema = PIECES.format(id=docs.schema["doc_id"].dataType.simpleString()) + (", ids binary" if with_ids else "")
     step = 4 * capacity
