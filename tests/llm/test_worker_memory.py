@@ -54,7 +54,15 @@ def test_a_worker_keeps_one_operators_tables(monkeypatch):
     assert made[0] is made[1] and made[3] is not made[0] and list(common._kept) == ["a"]
 
 
-def test_arrow_batches_end_by_bytes(spark):
+@pytest.fixture
+def usual_rows(spark):
+    before = spark.conf.get(common.BATCH_SETTING)
+    spark.conf.set(common.BATCH_SETTING, "10000")
+    yield
+    spark.conf.set(common.BATCH_SETTING, before)
+
+
+def test_arrow_batches_end_by_bytes(spark, usual_rows):
     light_batches(spark)
 
     def measure(batches):
