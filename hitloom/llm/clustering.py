@@ -5,9 +5,12 @@ read only their block. A round is
 
 1. every column-block task computes exact partial squared distances of its rows to its slice of the centroids;
 2. ``reduceByKey`` adds the blocks of a tile, and the smallest sum (ties: the smaller number) is the assignment;
-3. the assignments meet the blocks again without a shuffle (same partitioner), every shard sums its own columns per
+3. the assignments, a number per row and block, go to where the blocks lie, every shard sums its own columns per
    cluster and replaces its own slice of the centroids.
 
+That is four stages with one Python worker per task, however many blocks there are. Such a task costs some 50 ms even
+without rows, and the number of tasks may be set by the cluster rather than by the rows.
+
 The driver sees k x d centroid numbers per round, never rows. Lost executors cost a recomputation from the stored
 tiles; no round depends on an earlier one but through the centroids.
 """
@@ -146,60 +149,66 @@ def nearest(p) -> tuple[np.ndarray, np.ndarray]:
     return cluster.astype(np.int32), d[np.arange(len(d)), cluster]
 
 
+def spread(tile: int) -> int:
+    """What tiles are dealt by: their numbers begin with the partition that laid them, which a plain remainder may drop."""
+    return (tile >> 32) + (tile & 0xFFFFFFFF)
+
+
 class Shards:
-    """The column blocks as RDDs of (tile, block), all dealt by tile with the same partitioner."""
+    """The column blocks as one RDD of ((block, tile), data) in which every partition has tiles of one block only."""
 
     def __init__(self, stored_tiles: DataFrame, s: Settings):
         self.s, self.spark = s, stored_tiles.sparkSession
         sc = self.spark.sparkContext
         count = stored_tiles.count()
-        self.partitions = max(1, min(count, max(sc.defaultParallelism, -(-count // TILES_PER_PARTITION))))
-        self.blocks: list[RDD] = []
-        for i, cut in enumerate(s.blocks()):
-            rows = stored_tiles.select("tile", f"b{i}").rdd.map(lambda r: (r[0], bytes(r[1])))
-            self.blocks.append(rows.partitionBy(self.partitions))
+        self.partitions = each = max(1, min(count, max(sc.defaultParallelism, -(-count // TILES_PER_PARTITION))))
+
+        def home(key: tuple[int, int]) -> int:
+            block, tile = key
+            return block * each + spread(tile) % each
+
+        self.home, self.homes = home, each * len(s.blocks())
+        parts = [stored_tiles.select("tile", f"b{i}").rdd.map(lambda r, i=i: ((i, r[0]), bytes(r[1]))) for i in range(len(s.blocks()))]
+        self.blocks: RDD = sc.union(parts).partitionBy(self.homes, home)
 
     def assign(self, centroids: np.ndarray) -> RDD:
-        """(tile, (clusters, distances)), dealt as the blocks are."""
-        parts = []
-        for block, cut in zip(self.blocks, self.s.blocks()):
-            c, width = centroids[:, cut], cut.stop - cut.start
+        """(tile, (clusters, distances)), dealt by tile."""
+        slices = [centroids[:, cut] for cut in self.s.blocks()]
 
-            def measure(rows, c=c, width=width):
-                for tile, data in rows:
-                    yield tile, sparse_planes(partial_distances(unpacked(data, width), c))
+        def measure(rows):
+            for (i, tile), data in rows:
+                yield tile, sparse_planes(partial_distances(unpacked(data, slices[i].shape[1]), slices[i]))
 
-            # Without its partitioner a block's tasks stay tasks of that block only.
-            parts.append(block.mapPartitions(measure, preservesPartitioning=False))
-        return self.spark.sparkContext.union(parts).reduceByKey(added, self.partitions).mapValues(nearest)
+        return self.blocks.mapPartitions(measure).reduceByKey(added, self.partitions, spread).mapValues(nearest)
 
     def update(self, assigned: RDD, centroids: np.ndarray) -> np.ndarray:
         """The next centroids: every shard replaces its own slice by the floors of its clusters' means."""
-        k, new = len(centroids), []
-        labels = assigned.mapValues(lambda v: v[0])
-        for i, (block, cut) in enumerate(zip(self.blocks, self.s.blocks())):
-            old, width = centroids[:, cut], cut.stop - cut.start
-
-            def total(rows, i=i, width=width):
-                sums, counts, any_ = np.zeros((k, width), object), np.zeros(k, object), False
-                for _, (data, cluster) in rows:
-                    x = unpacked(data, width)
-                    order = np.argsort(cluster, kind="stable")
-                    present, starts = np.unique(cluster[order], return_index=True)
-                    sums[present] += np.add.reduceat(x[order], starts, axis=0).astype(object)
-                    counts[present] += np.bincount(cluster, minlength=k)[present].astype(object)
-                    any_ = True
-                if any_:
-                    yield i, (sums, counts)
-
-            def mean(v, old=old):
-                sums, counts = v
-                return [[int(t) // int(n) if n else int(o) for t, o in zip(ts, os)] for ts, n, os in zip(sums, counts, old)]
-
-            new.append(block.join(labels, self.partitions).mapPartitions(total).reduceByKey(
-                lambda a, b: (a[0] + b[0], a[1] + b[1]), 1).mapValues(mean))
-        slices = dict(self.spark.sparkContext.union(new).collect())
-        return np.concatenate([np.array(slices[i], np.int64) for i in sorted(slices)], axis=1)
+        k, slices = len(centroids), [centroids[:, cut] for cut in self.s.blocks()]
+        count = len(slices)
+        labels = assigned.flatMap(lambda v: [((i, v[0]), v[1][0]) for i in range(count)]).partitionBy(self.homes, self.home)
+
+        def total(rows):
+            sums, counts = {}, {}
+            for (i, _), pair in rows:
+                data, cluster = sorted(pair, key=lambda v: not isinstance(v, bytes))
+                x = unpacked(data, slices[i].shape[1])
+                order = np.argsort(cluster, kind="stable")
+                present, starts = np.unique(cluster[order], return_index=True)
+                if i not in sums:
+                    sums[i], counts[i] = np.zeros((k, x.shape[1]), object), np.zeros(k, object)
+                sums[i][present] += np.add.reduceat(x[order], starts, axis=0).astype(object)
+                counts[i][present] += np.bincount(cluster, minlength=k)[present].astype(object)
+            for i in sums:
+                yield i, (sums[i], counts[i])
+
+        def mean(entry):
+            i, (sums, counts) = entry
+            return i, [[int(t) // int(n) if n else int(o) for t, o in zip(ts, os)] for ts, n, os in zip(sums, counts, slices[i])]
+
+        # Both lie as dealt, and a partition's labels and data pass one worker. RDD.join would take three.
+        met = labels.union(self.blocks).groupByKey(self.homes, self.home)
+        new = dict(met.mapPartitions(total).reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1]), count).map(mean).collect())
+        return np.concatenate([np.array(new[i], np.int64) for i in range(count)], axis=1)
 
 
 def cluster(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -72,6 +72,39 @@ def test_partial_distances_survive_packing():
         assert (clustering.unpacked(clustering.packed(x), 5) == x).all()
 
 
+def test_a_round_adds_up_each_tile_once_and_keeps_blocks_apart(spark, monkeypatch):
+    from hitloom.llm.common import stored
+
+    s = Settings(k=4, rounds=1, dims=6, width=2)
+    whole = clustering.whole_vectors(spark.createDataFrame(vectors(60), "vec_id long, embedding array<double>").repartition(16), s)
+    laid = stored(clustering.tiles(whole, s), "tiles")
+    assert laid.count() == 16
+    centroids = clustering.first_centroids(whole, s)
+    done, plain = spark.sparkContext.accumulator(0), clustering.nearest
+
+    def counted(p):
+        done.add(1)
+        return plain(p)
+
+    monkeypatch.setattr(clustering, "nearest", counted)
+    shards = clustering.Shards(laid, s)
+    shards.update(shards.assign(centroids), centroids)
+    assert done.value == 16  # three blocks: it was done for each of them
+    dealt = [[block for (block, _), _ in rows] for rows in shards.blocks.glom().collect()]
+    assert len(dealt) == 3 * shards.partitions and all(len(set(rows)) == 1 for rows in dealt)
+    assert max(map(len, dealt)) <= -(-16 // shards.partitions) + 1
+
+
+def test_clustering_with_more_partitions_than_tiles(spark, monkeypatch):
+    from pyspark import RDD
+
+    plain = RDD.partitionBy
+    monkeypatch.setattr(RDD, "partitionBy", lambda self, n, *a, **b: plain(self, max(n, 23), *a, **b))
+    rows = vectors(60)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    assert sorted((str(r[0]), *r[1:]) for r in clustering.cluster(df, SMALL).collect()) == lloyd(rows, SMALL)
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SOURCES = ["b", None, "a", "z", "é", "", "m"]
 
